@@ -1,0 +1,4 @@
+"""Registered queries of the reference's own operators and their SQL twins."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
