@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import decontaminate, ngram_lm, secrets, simhash, topk, urls
+from tabloom.llm import decontaminate, ngram_lm, packing, quality, secrets, simhash, topk, toxicity, urls
 from tabloom.llm._common import table
 
 
@@ -26,21 +26,38 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.train(urls.labelled_urls(spark)))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.lm_scores(table(spark, sf_dir, "documents"), order=2)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_topk": op2_topk,
     "op3_simhash": op3_simhash,
     "op4_urls": op4_urls,
+    "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
+    "op8_packing": op8_packing,
     "op9_lm": op9_lm,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: op2: every pair of a query and another vector, ranked.
