@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import decontaminate, ngram_lm, packing, quality, secrets, simhash, topk, toxicity, urls
+from tabloom.llm import decontaminate, html_text, ngram_lm, packing, quality, secrets, simhash, topk, toxicity, urls
 from tabloom.llm._common import table
 
 
@@ -35,6 +35,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_urls": op4_urls,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
+    "op7_html": op7_html,
     "op8_packing": op8_packing,
     "op9_lm": op9_lm,
     "op10_toxicity": op10_toxicity,
