@@ -125,18 +125,19 @@ def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, b
         yield own
 
 
-def contamination(docs: DataFrame, bench: DataFrame, span: int = 8, k: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, span: int = 8, k: int = 5, block_bytes: int = 16 << 20, keep: bool = False) -> DataFrame:
     """doc_id, n_words, hits (array: starts and ends of runs of hit words, alternating) and items (ids of the items that
     have a window in the text, as strings), a row per row of docs.
 
     A word is hit if it lies in an occurrence of a window: span consecutive words of an item, or a whole item of fewer
     words. Null has no words; an item without words has no window; equal items each count. The benchmark is read in
     blocks of block_bytes of text, each broadcast by itself; a benchmark of any size takes as many passes as it has
-    blocks, over the same rows and without a shuffle. Other columns are not read; doc_id may be null or repeat."""
+    blocks, over the same rows and without a shuffle. Other columns are not read, unless
+    with `keep` the whole row is carried along as `row`; doc_id may be null or repeat."""
     if not 1 <= k <= span:
         raise ValueError("a k-gram can't be longer than the window")
     spark = docs.sparkSession
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"), *([F.struct(*docs.columns).alias("row")] if keep else []))
     items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("binary"))
     blocks = _blocks(items, block_bytes)
     for block in chain([next(blocks, [])], blocks):
@@ -155,12 +156,18 @@ def contamination(docs: DataFrame, bench: DataFrame, span: int = 8, k: int = 5,
                         hit[lo:hi] = True
                     runs.append(_runs(hit))
                     names.append(had + [items.names[x] for x in sorted(found)])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string())), *b.columns[5:]], b.schema.names)
 
-        state = state.mapInArrow(run, "doc_id long, text binary, n_words long, hits array<long>, items array<string>")
+        state = state.mapInArrow(run, state.schema)
     return state.drop("text")
 
 
+def decontaminated(docs: DataFrame, bench: DataFrame, least_items: int = 1, **how) -> DataFrame:
+    """The rows of docs, all their columns, that have windows of fewer than least_items items."""
+    marked = contamination(docs, bench, keep=True, **how).where(F.size(F.array_distinct("items")) < least_items)
+    return marked.select("row.*")
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from contamination()."""
     signed = F.transform("hits", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.llm._common import stored
+from tabloom.llm._common import small, stored
 from tabloom.llm.bktree import BKTree, Forest
 from tabloom.llm.components import components
 
@@ -157,24 +157,27 @@ def _bands(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, fp, node (a hash of the normalised words) and one hash per band; texts without words are left out."""
+    """doc_id, raw (a hash of the text), fp, node (a hash of the normalised words) and one hash per band; texts without
+    words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fps, nodes, keys = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            at, fps, nodes, keys = [], [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
                 words = (t or b"").lower().split()
                 if not words:
                     continue
                 h = np.unique(shingle_hashes(t, size))
-                ids.append(i)
+                at.append(i)
                 fps.append(fingerprint(h))
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED + 1))
                 keys.append(_bands(h, bands, rows).view(np.int64).tolist())
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), as_long(fps), as_long(nodes), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "node", "bands"])
+            own = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(2).take(own), as_long(fps), as_long(nodes), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "raw", "fp", "node", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long, node long, bands array<long>")
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text"))
+    return own.mapInArrow(run, "doc_id long, raw long, fp long, node long, bands array<long>")
 
 
 def _band_edges(shards: DataFrame, radius: int) -> DataFrame:
@@ -224,7 +227,7 @@ def _verified(blocks: DataFrame, size: int, similarity: float, radius: int) -> D
 
 
 def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 18, bands: int = 20, rows: int = 4, shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
-    """(doc_id, group_id): the smallest doc_id of the texts linked by a Jaccard similarity of at least `similarity` of
+    """(doc_id, raw, group_id), raw being xxhash64 of the text: the smallest doc_id of the texts linked by a Jaccard similarity of at least `similarity` of
     their sets of shingles. Each text that has words gets a row.
 
     Exact copies (equal words) are one node. Nodes meet in shards keyed by bands of minimum hashes, whose trees find
@@ -247,13 +250,23 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     blocks = F.ceil(F.col("members") / block_rows).cast("int")
     members = rough.join(counts, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     members = members.join(nodes.select("node", "fp", "least"), "node")
-    first = own.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(rough.select("node"), "node", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(first.select("doc_id", "node"), "doc_id").dropDuplicates(["node"])
+    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id")
+    first = own.select(id_of, "raw", "node").join(small(rough.select("node")), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "raw")).alias("x")).select("node", "x.*")
+    texts = docs.select(id_of, F.xxhash64("text").alias("raw"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(small(stored(first, "near-first")), ["id", "raw"]).dropDuplicates(["node"])
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
-    dealt = members.join(texts.drop("doc_id"), "node").select("root", "node", "fp", "block", "text", F.inline(pairs))
+    dealt = members.join(texts.select("node", "text"), "node").select("root", "node", "fp", "block", "text", F.inline(pairs))
     exact = components(_verified(dealt, size, similarity, radius), "near-exact")
     rooted = nodes.join(exact, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("group_id"))
     of = rooted.join(named, "root").select("node", "group_id")
-    return own.select("doc_id", "node").join(of, "node").select("doc_id", "group_id")
+    return own.select("doc_id", "raw", "node").join(of, "node").select("doc_id", "raw", "group_id")
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """docs without the rows whose text has a near-duplicate of smaller doc_id, linked by any number of steps (see
+    near_groups). Texts without words stay, and so do rows without a doc_id where their whole group has none."""
+    groups = near_groups(docs, **how)
+    lost = groups.where("group_id is not null and not (doc_id <=> group_id)").select(F.col("doc_id").alias("near_id"), F.col("raw").alias("near_raw")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("near_id")) & (F.xxhash64(docs["text"]) == F.col("near_raw"))
+    return docs.join(small(stored(lost, "near-lost")), same, "left_anti")

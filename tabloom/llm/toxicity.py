@@ -300,6 +300,19 @@ def toxicity(docs: DataFrame, model, cut: float = 0.7) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model, cut: float = 0.7) -> DataFrame:
+    """The rows of docs, all their columns, whose text scores less than `cut`."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(model)
+        for b in batches:
+            s = score([(t or "").encode() for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array(s < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class Scorer:
     """Scores texts in a worker. Inputs of words are remembered, as many as REMEMBERED at most."""
 
