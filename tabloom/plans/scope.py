@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def relations(spark: SparkSession, query: str) -> list[str]:
-    """Names of tables and views that a query's text refers to, in order, once each; names of its own WITH clauses
+    """Names of tables and views that a query's text refers to, sorted, once each; names of its own WITH clauses
     don't count."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
     text = plan.treeString()
     found = re.findall(r"'UnresolvedRelation \[([^\]]+)\]", text)
     own = {x.lower() for x in re.findall(r"(?:CTE|'UnresolvedWith|SubqueryAlias) \[?(\w+)", text)} | {m.lower() for m in re.findall(r"(?i)\b(?:with(?:\s+recursive)?|,)\s+(\w+)(?:\s*\([^)]*\))?\s+as\s*\(", query)}
     names = [x.replace(", ", ".") for x in found]
-    return list(dict.fromkeys(n for n in names if n.lower() not in own))
+    return sorted({n for n in names if n.lower() not in own})
 
 
 def views(spark: SparkSession, query: str) -> list[str]:
