@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,31 @@ def _odds(yes: np.ndarray, no: np.ndarray, share: float, prior: float = 4.0) ->
     return np.log((yes + prior * share) / (no + prior * (1 - share))) - np.log(share / (1 - share))
 
 
+def _flat_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' grams one after another, and how many each has."""
+    counts = np.empty(len(words), np.int32)
+    parts = []
+    for lo in range(0, len(words), 4096):
+        own = [_grams_of(w) for w in words[lo : lo + 4096]]
+        counts[lo : lo + len(own)] = [len(g) for g in own]
+        parts.append(np.array([x for g in own for x in g], np.int32))
+    return np.concatenate(parts) if parts else np.empty(0, np.int32), counts
+
+
+class Lexicon:
+    """Distinct words by number, with their grams."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        self.flat, self.counts = _flat_grams(words)
+        self.starts = np.cumsum(self.counts, dtype=np.int64) - self.counts
+
+    def grams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.counts[ids].astype(np.int64)
+        at = np.repeat(self.starts[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.flat[at], n
+
+
 def windows_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows of a text's word ids (rows; -1 where a text is over) and their lengths: every STRIDE words one begins,
     until one reaches the end."""
@@ -72,14 +98,14 @@ class Network:
         self.p |= {"att": normal(2 * CELLS), "out": normal(2 * CELLS), "bias": np.zeros(1, np.float32)}
         self.curve = (1.0, 0.0)
 
-    def inputs(self, words: list[bytes], names: list[bytes] | None = None) -> np.ndarray:
-        """Of each word the embedding of its name (row 0 for unknown ones) beside its characters' n-grams, summed and
-        divided by the root of their number."""
-        own = self.p["word"][[self.vocabulary.get(w, 0) for w in names or words]]
-        grams = [_grams_of(w) for w in words]
-        n = np.array([len(g) for g in grams])
-        sums = np.add.reduceat(self.p["gram"][np.concatenate([np.array(g) for g in grams])], np.cumsum(n) - n)
-        return np.concatenate([own, sums / np.sqrt(n)[:, None]], 1).astype(np.float32)
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """Of each word its row among the embeddings, 0 for unknown ones."""
+        return np.array([self.vocabulary.get(w, 0) for w in words], np.int64)
+
+    def inputs(self, rows: np.ndarray, flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of each word the embedding in its row beside those of its grams, summed and divided by the root of their number."""
+        sums = np.add.reduceat(self.p["gram"][flat], np.cumsum(n, dtype=np.int64) - n)
+        return np.concatenate([self.p["word"][rows], sums / np.sqrt(n)[:, None]], 1).astype(np.float32)
 
     def projected(self, x: np.ndarray) -> dict[str, np.ndarray]:
         return {d: x @ self.p[f"w{d}"] + self.p[f"b{d}"] for d in "fb"}
@@ -115,8 +141,9 @@ class Network:
             keep |= {"mask": mask, "h": h, "a": a, "pooled": pooled, **traces}
         return pooled @ self.p["out"] + self.p["bias"][0]
 
-    def gradients(self, x: np.ndarray, words: list[bytes], names: list[bytes], at: np.ndarray, length: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross-entropy over windows."""
+    def gradients(self, rows: np.ndarray, flat: np.ndarray, counts: np.ndarray, at: np.ndarray, length: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy over windows of the words that rows, flat and counts describe."""
+        x = self.inputs(rows, flat, counts)
         k: dict = {}
         p, c, proj = self.p, CELLS, self.projected(x)
         miss = ((_sigmoid(self.logits(proj, at, length, k)) - labels) / len(labels)).astype(np.float32)
@@ -144,25 +171,18 @@ class Network:
             gp = _scattered(moved.reshape(-1, 3 * c), turned.ravel(), len(x))
             g[f"u{d}"], g[f"w{d}"], g[f"b{d}"] = gu, x.T @ gp, gp.sum(0)
             dx += gp @ p[f"w{d}"].T
-        g["word"] = _scattered(dx[:, :WIDTH], np.array([self.vocabulary.get(w, 0) for w in names]), len(p["word"]))
-        grams = [_grams_of(w) for w in words]
-        n = np.array([len(q) for q in grams])
-        g["gram"] = _scattered(np.repeat(dx[:, WIDTH:] / np.sqrt(n)[:, None], n, 0), np.concatenate([np.array(q) for q in grams]), GRAMS)
+        g["word"] = _scattered(dx[:, :WIDTH], rows, len(p["word"]))
+        g["gram"] = _scattered(np.repeat(dx[:, WIDTH:] / np.sqrt(counts)[:, None], counts, 0), flat, GRAMS)
         return g
 
-    def worst(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Highest logit of each text's windows and the window's number; -inf and -1 without words."""
-        kinds: dict[bytes, int] = {}
-        parts = [windows_of(np.fromiter((kinds.setdefault(w, len(kinds)) for w in t), np.int64, len(t))) for t in texts]
-        best, which = np.full(len(texts), -np.inf), np.full(len(texts), -1)
-        if kinds:
-            owner = np.repeat(np.arange(len(texts)), [len(w) for w, _ in parts])
-            proj = self.projected(self.inputs(list(kinds)))
-            scores = self.run(proj, np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts]))
-            order = np.lexsort((-scores, owner))
-            first = order[np.unique(owner[order], return_index=True)[1]]
-            best[owner[first]] = scores[first]
-            which[owner[first]] = first - np.searchsorted(owner, owner[first])
+    def worst(self, texts: list[np.ndarray], lexicon: Lexicon, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Highest logit of each text's windows and the window's number. texts are word numbers; rows are the words'."""
+        best, which = np.empty(len(texts)), np.empty(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            kinds, ids = np.unique(text, return_inverse=True)
+            scores = self.run(self.projected(self.inputs(rows[kinds], *lexicon.grams(kinds))), *windows_of(ids))
+            which[i] = int(np.argmax(scores))
+            best[i] = scores[which[i]]
         return best, which
 
     def run(self, proj: dict[str, np.ndarray], at: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -184,53 +204,61 @@ class Constant:
         return np.full(len(logit), self.share)
 
 
-def fit(sample: list[tuple[bytes, int]], steps: int = 300, size: int = 128, rate: float = 0.01, decay: float = 1e-4, unknown: float = 0.5, most_words: int = 8000, seed: int = 0):
+def fit(sample: list[tuple[bytes, int]], totals: tuple[int, int] | None = None, steps: int = 300, size: int = 128, rate: float = 0.01, decay: float = 1e-4, unknown: float = 0.5, most_words: int = 8000, seed: int = 0):
     """A network from (text, label) rows. Every fifth row of either label is kept back for the logistic curve; in each
-    step a share `unknown` of the known words is taken as unknown, so that the network learns from characters too."""
-    texts, labels = [words_of(t) for t, _ in sample], np.array([y for _, y in sample], np.float32)
-    keep = [i for i, t in enumerate(texts) if t]
-    texts, labels = [texts[i] for i in keep], labels[keep]
+    step a share `unknown` of the known words is taken as unknown, so that the network learns from characters too.
+    totals are the rows of either label that the sample stands for: the curve weighs its rows accordingly."""
+    numbers: dict[bytes, int] = {}
+    texts, labels = [], []
+    for t, y in sample:
+        if words := words_of(t):
+            texts.append(np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32))
+            labels.append(y)
+    labels = np.array(labels, np.float32)
     if len(set(labels.tolist())) < 2:
         return Constant(float(labels[0]) if len(labels) else 0.0)
+    lexicon = Lexicon(list(numbers))
+    del numbers
     back = np.zeros(len(texts), bool)
     for y in (0, 1):
         back[np.flatnonzero(labels == y)[4::5]] = True
     spare, spared = [texts[i] for i in np.flatnonzero(back)], labels[back]
     texts, labels = [texts[i] for i in np.flatnonzero(~back)], labels[~back]
     share = float(labels.mean())
-    seen: dict[bytes, np.ndarray] = {}
-    gram_seen = np.zeros((2, GRAMS))
-    grams_of: dict[bytes, list[int]] = {}
+    seen, gram_seen = np.zeros((2, len(lexicon.words))), np.zeros((2, GRAMS))
     for t, y in zip(texts, labels, strict=True):
-        own = set(t)
-        for w in own:
-            seen.setdefault(w, np.zeros(2))[int(y)] += 1
-        gram_seen[int(y), np.unique(np.concatenate([grams_of.get(w) or grams_of.setdefault(w, _grams_of(w)) for w in own]))] += 1
-    common = sorted((w for w, n in seen.items() if n.sum() >= 3), key=lambda w: (-seen[w].sum(), w))[:most_words]
-    net, r = Network({w: i + 1 for i, w in enumerate(common)}, seed), np.random.default_rng(seed)
-    if common:  # the first number of each embedding starts from the labels
-        both = np.array([seen[w] for w in common])
-        net.p["word"][1:, 0] = _odds(both[:, 1], both[:, 0], share)
+        own = np.unique(t)
+        seen[int(y), own] += 1
+        gram_seen[int(y), np.unique(lexicon.grams(own)[0])] += 1
+    total = seen.sum(0)
+    common = np.flatnonzero(total >= 3)
+    common = common[np.argsort(-total[common], kind="stable")][:most_words]
+    net, r = Network({lexicon.words[i]: k + 1 for k, i in enumerate(common)}, seed), np.random.default_rng(seed)
+    net.p["word"][1:, 0] = _odds(seen[1, common], seen[0, common], share)  # the first number starts from the labels
     net.p["gram"][:, 0] = _odds(gram_seen[1], gram_seen[0], share)
-    value = {w: float(net.p["gram"][g, 0].sum() / len(g) ** 0.5) for w, g in grams_of.items()}
-    pointed = [_top_window([value[w] for w in t]) for t in texts]
+    rows = np.zeros(len(lexicon.words), np.int64)
+    rows[common] = np.arange(1, len(common) + 1)
+    value = np.add.reduceat(net.p["gram"][lexicon.flat, 0], lexicon.starts) / np.sqrt(lexicon.counts)
+    pointed = [_top_window(value[t]) for t in texts]
     yes, no = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     m = {n: np.zeros_like(v) for n, v in net.p.items()}
     v = {n: np.zeros_like(x) for n, x in net.p.items()}
     for step in range(1, steps + 1):
         if step == steps // 2:
-            pointed = net.worst(texts)[1].tolist()
+            pointed = net.worst(texts, lexicon, rows)[1].tolist()
         own = np.r_[r.choice(yes, size // 2), r.choice(no, size // 2)]
-        cuts = [pointed[i] if labels[i] or r.random() < 0.5 else int(r.integers(0, max(1, len(range(0, max(1, len(texts[i]) - WINDOW + STRIDE), STRIDE))))) for i in own]
-        kinds: dict[bytes, int] = {}
         at, length = np.full((size, WINDOW), -1), np.zeros(size, np.int64)
-        for j, (i, w) in enumerate(zip(own, cuts, strict=True)):
+        for j, i in enumerate(own):
+            last = max(1, len(range(0, max(1, len(texts[i]) - WINDOW + STRIDE), STRIDE)))
+            w = pointed[i] if labels[i] or r.random() < 0.5 else int(r.integers(0, last))
             words = texts[i][w * STRIDE : w * STRIDE + WINDOW]
             length[j] = len(words)
-            at[j, : len(words)] = [kinds.setdefault(x, len(kinds)) for x in words]
-        words = list(kinds)
-        hidden = [b"" if r.random() < unknown else w for w in words]
-        grads = net.gradients(net.inputs(words, hidden), words, hidden, at, length, labels[own])
+            at[j, : len(words)] = words
+        kinds, turned = np.unique(at, return_inverse=True)
+        past = int(kinds[0] == -1)
+        kinds, at = kinds[past:], turned.reshape(at.shape) - past
+        hidden = np.where(r.random(len(kinds)) < unknown, 0, rows[kinds])
+        grads = net.gradients(hidden, *lexicon.grams(kinds), at, length, labels[own])
         for name, g in grads.items():
             g = g + decay * net.p[name]
             m[name] = 0.9 * m[name] + 0.1 * g
@@ -238,24 +266,26 @@ def fit(sample: list[tuple[bytes, int]], steps: int = 300, size: int = 128, rate
             net.p[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
     if len(set(spared.tolist())) < 2:
         spare, spared = texts, labels
-    net.curve = _curve(net.worst(spare)[0], spared)
+    own = np.array([(spared == y).sum() for y in (0, 1)])
+    net.curve = _curve(net.worst(spare, lexicon, rows)[0], spared, (np.array(totals or own) / own)[spared.astype(int)])
     return net
 
 
-def _top_window(odds: list[float]) -> int:
+def _top_window(odds: np.ndarray) -> int:
     best = int(np.argmax(odds))
     last = max(0, -(-(len(odds) - WINDOW) // STRIDE))
     return min(last, max(0, (best - WINDOW // 2) // STRIDE))
 
 
-def _curve(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[float, float]:
     """Slope and shift of a logistic regression on one number, by Newton's method with a little damping."""
     a, b = 1.0, 0.0
     x = x.astype(np.float64)
+    weight = weight / weight.mean()
     for _ in range(rounds):
         p = _sigmoid(a * x + b)
-        w = p * (1 - p) + 1e-6
-        ga, gb = ((p - y) * x).sum() + 1e-3 * (a - 1), (p - y).sum()
+        w, miss = weight * p * (1 - p) + 1e-6, weight * (p - y)
+        ga, gb = (miss * x).sum() + 1e-3 * (a - 1), miss.sum()
         haa, hab, hbb = (w * x * x).sum() + 1e-3, (w * x).sum(), w.sum()
         det = haa * hbb - hab * hab + 1e-9
         da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
@@ -268,7 +298,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 2000, most_bytes: int = 65_536):
+def train(docs: DataFrame, labels: DataFrame, most: int = 2000, most_bytes: int = 32_768):
     """A network from at most `most` documents of either label, of at most most_bytes each, chosen by a hash of their
     ids among those that are not held out. Rows with a null id or label, and labels other than 0 and 1, don't count; of
     several labels of one id the highest does."""
@@ -282,7 +312,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 2000, most_bytes: int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     # of repeated ids one row: the table holds `most` ids of each label, which bounds what is broadcast and collected
     sample = texts.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= most_bytes).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return fit([(bytes(r["text"]), r["toxic"]) for r in sorted(sample.collect())])
+    found = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    return fit([(bytes(r["text"]), r["toxic"]) for r in sorted(sample.collect())], (found.get(0, 0), found.get(1, 0)))
 
 
 def toxicity(docs: DataFrame, model, cut: float = 0.7) -> DataFrame:
@@ -343,7 +374,8 @@ class Scorer:
         known, kinds = len(self.kinds), self.kinds
         parts = [windows_of(np.array([kinds.setdefault(w, len(kinds)) for w in words], np.int64)) for _, words in waiting]
         if len(kinds) > known:
-            fresh = self.model.projected(self.model.inputs(list(kinds)[known:]))
+            words = list(islice(kinds, known, None))
+            fresh = self.model.projected(self.model.inputs(self.model.rows(words), *_flat_grams(words)))
             self.proj = {d: np.concatenate([self.proj[d], fresh[d]]) for d in "fb"}
         owner = np.repeat([i for i, _ in waiting], [len(w) for w, _ in parts])
         scores = self.model.run(self.proj, np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts]))
