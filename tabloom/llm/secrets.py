@@ -95,11 +95,15 @@ def scan(docs: DataFrame, ratios: list[int], least_run: int = 20, threshold: int
     end exclusive. A null or empty text has none; null ids and repeated rows stay as they are.
 
     assign, access and hex are the fixed patterns. markov: a whole run of at least least_run characters of the alphabet,
-    whose log-likelihood ratio is at least threshold milli-nats, and that overlaps none of the others."""
+    whose log-likelihood ratio is at least threshold milli-nats, each transition counted once (what repeats is not
+    random), and that overlaps none of the others."""
     size = len(ALPHABET)
     table = "array(" + ",".join(map(str, ratios)) + ")"
     own = "secret_scan_text"
-    llr = f"aggregate(sequence(2, length(x.g)), 0, (s, i) -> s + {table}[(locate(substr(x.g, i - 1, 1), '{ALPHABET}') - 1) * {size} + locate(substr(x.g, i, 1), '{ALPHABET}') - 1])"
+    chars = "split(x.g, '')"
+    place = f"(locate(a, '{ALPHABET}') - 1) * {size} + locate(b, '{ALPHABET}') - 1"
+    steps = f"array_distinct(zip_with({chars}, slice({chars}, 2, length(x.g)), (a, b) -> if(b is null, -1, {place})))"
+    llr = f"aggregate(filter({steps}, p -> p >= 0), 0, (s, p) -> s + {table}[p])"
     kind = lambda k, spans: F.expr(f"transform({spans}, x -> named_struct('start', x.lo, 'kind', {k}, 'end', x.hi))")
     base = F.concat(
         kind(0, f"filter({_located(own, ASSIGN, 2)}, x -> length(x.g) >= {LEAST_VALUE})"),

@@ -17,11 +17,12 @@ RULES = [
 ]
 
 #: Names of hosts and paths of the labelled table; each pair of one kind is a row.
-BAD_HOSTS = "spam-farm adult-x free-bets casino-win xxx-cams cheap-pills hot-singles poker-bonus malware-drop click-prize porn-tube bet-now warez-zone viagra-shop phish-login crypto-doubler".split()
+BAD_HOSTS = "spam-farm adult-x free-bets casino-win xxx-cams cheap-pills hot-singles poker-bonus malware-drop click-prize porn-tube bet-now warez-zone viagra-shop phish-login crypto-doubler ads-serve ad-tracker track-click banner-ads pixel-track push-ads adult-dating free-spins".split()
 BAD_PATHS = "win-prize bonus bet casino xxx adult pills free-download crack lottery click track/ad spam promo-offer poker singles".split()
 GOOD_HOSTS = (
     "news university library weather museum research archive recipes gardening city-council hospital history science journal travel-guide documentation "
-    "theatre thirteen northern heather thinktank therapy ontheshore institution thunder rhetoric athens tionesta interior entertainment reference nottingham"
+    "theatre thirteen northern heather thinktank therapy ontheshore institution thunder rhetoric athens tionesta interior entertainment reference nottingham "
+    "orchestra readers standard thrush hatter training addresses paddington"
 ).split()
 #: Subdomains, dealt to the hosts of either kind in turn.
 SUBDOMAINS = ("", "www.", "m.", "blog.")
@@ -29,7 +30,7 @@ GOOD_PATHS = "article about history science 2021/05 research/paper help guide co
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, bad): all pairs of the fixed names of one kind, 768 rows."""
+    """(url, bad): all pairs of the fixed names of one kind, 1,024 rows."""
     rows = [(f"https://{SUBDOMAINS[k % 4]}{h}.{d}/{p}", bad) for hosts, paths, bad in ((BAD_HOSTS, BAD_PATHS, 1), (GOOD_HOSTS, GOOD_PATHS, 0)) for i, h in enumerate(hosts) for k, p in enumerate(paths) for d in [("example.org", "invalid.net")[i % 2]]]
     return spark.createDataFrame(rows, "url string, bad int")
 
