@@ -233,8 +233,8 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     Exact copies (equal words) are one node. Nodes meet in shards keyed by bands of minimum hashes, whose trees find
     fingerprints within the radius; the groups so found are verified on whole texts, in pairs of blocks of block_rows
     nodes, so that a group of any size needs no more memory than two blocks. Only a spanning forest of the links goes
-    on. A band shared by more than shard_rows nodes is cut by the next bits of the fingerprint's hash bands: its nodes
-    are linked to the band's smallest node and left to verification, which covers all pairs of the group."""
+    on. In a band shared by more than shard_rows nodes no tree is built: its nodes all count as found, and verification,
+    which covers all pairs of a group, decides. Rows without doc_id have groups too; a group without any id has none."""
     own = stored(_sketches(docs, size, bands, rows), "near-sketches")
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
     nodes = stored(nodes, "near-nodes")
