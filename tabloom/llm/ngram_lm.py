@@ -27,7 +27,7 @@ MIX, TURN = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 #: Hashes of the end of a text and of what stands before its first word.
 END, BEGIN = U(0x1B873593CC9E2D51), U(0x85EBCA77C2B2AE63)
 #: Tokens that a task counts or scores at a time.
-COUNTED, SCORED = 3 << 20, 1 << 19
+COUNTED, SCORED = 3 << 19, 1 << 18
 
 
 @lru_cache(None)
@@ -141,13 +141,14 @@ def _count(texts: DataFrame, order: int, shards: int) -> DataFrame:
 
         def flush():
             nonlocal waiting, size
-            backs = [np.concatenate([w[0][i] for w in waiting]) for i in range(order)]
+            backs = [np.concatenate([w[0][i] for w in waiting]) for i in range(order - 1 if order > 2 else 0)]
+            longest = np.concatenate([w[0][-1] for w in waiting])
             word = np.concatenate([w[1] for w in waiting])
             waiting, size = [], 0
-            keys, (n,) = _summed((backs[-1], word), (np.ones(len(word), np.uint32),))
+            keys, (n,) = _summed((longest, word), (np.ones(len(word), np.uint32),))
             if order > 2:  # shorter contexts follow from the longest one
-                _, at = np.unique(backs[-1], return_index=True)
-                place = np.searchsorted(backs[-1][at], keys[0])
+                _, at = np.unique(longest, return_index=True)
+                place = np.searchsorted(longest[at], keys[0])
                 shorter = [backs[i][at][place] for i in range(order - 2, -1, -1)]
             else:
                 shorter = [np.zeros(len(n), U)] * (order - 1)
@@ -167,7 +168,7 @@ def _count(texts: DataFrame, order: int, shards: int) -> DataFrame:
     return texts.mapInArrow(run, "shard int, blob binary")
 
 
-def _parts(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+def _parts(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
     """Stretches of texts with no more than `most` bytes together, or one text."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     lo = 0
@@ -228,7 +229,7 @@ def _gather(blobs: DataFrame, order: int, shards: int, folder: str) -> DataFrame
         word = np.concatenate(words)
         del words
         context = np.concatenate(backs[0])
-        order_of = np.lexsort((word, context))
+        order_of = np.lexsort((word, context)).astype(np.uint32)
         context, word = context[order_of], word[order_of]
         new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
         add = lambda x: np.add.reduceat(np.concatenate(x)[order_of].astype(np.uint64), new)
@@ -302,7 +303,7 @@ class Model:
         """Of each token: its count in training, and log10 of its probability."""
         kinds, of = np.unique(words, return_inverse=True)
         n, raw = self._find(1, "key", kinds, kinds % U(self.shards), [("n", "<u4"), ("raw", "<u8")])
-        p = ((self._discounted(1, n) / self.total if self.total else 0.0) + self.rest / (self.vocabulary + 1))[of]
+        p = ((self._discounted(1, n) / self.total if self.total else np.zeros(len(n))) + self.rest / (self.vocabulary + 1))[of]
         for m in range(2, self.order + 1):
             kinds, at = np.unique(backs[m - 1], return_inverse=True)
             total, *few = self._find(m, "context", kinds, kinds % U(self.shards), [("total", "<u8"), ("few1", "<u4"), ("few2", "<u4"), ("few3", "<u4")])
@@ -314,7 +315,7 @@ class Model:
         return raw[of], np.log10(p)
 
 
-def train(texts: DataFrame, order: int = 2, shard_chars: int = 16 << 20) -> Model:
+def train(texts: DataFrame, order: int = 2, shard_chars: int = 8 << 20) -> Model:
     """The model of all rows of texts (a binary column). The ranges are as many as the corpus needs at shard_chars
     bytes each, so that a task's memory doesn't grow with it."""
     spark = texts.sparkSession
