@@ -48,12 +48,13 @@ def _rank(d: str, cumulative: list[float], r: str) -> str:
     return f"size(filter({c}, x -> x <= {r}))" if d == SPARK else f"len(list_filter({c}, lambda x: x <= {r}))"
 
 
-def normal(d: str, s: Stats, kind: str, row: str, table: str = "t") -> str:
+def normal(d: str, s: Stats, kind: str, row: str, table: str = "t", r: str | None = None) -> str:
     """One uniform number decides between null, a most common value and a bucket; a second one is the place within the
     bucket. Numbers only; the bucket is found by arithmetic, and equal bounds give the bound.
 
-    A value within a bucket that is a most common one is drawn again, four times at most."""
-    r = uniform(d, table, s.name, row)
+    A value within a bucket that is a most common one is drawn again, four times at most. r names a column that already
+    holds the first number, which the expression needs several times."""
+    r = r or uniform(d, table, s.name, row)
     edge = s.null_frac
     cumulative = []
     for _, f in s.mcv:
@@ -79,6 +80,12 @@ def normal(d: str, s: Stats, kind: str, row: str, table: str = "t") -> str:
     return f"case {' '.join(parts)} else {tried} end" if parts else tried
 
 
+def normal_columns(rows: DataFrame, specs: dict[str, tuple[Stats, str]], table: str = "t") -> DataFrame:
+    """rows' id and a column of each of specs (statistics, type); each draw is made once a row and column."""
+    drawn = rows.selectExpr("id", *[f"{uniform(SPARK, table, s.name, 'id')} as draw_{c}" for c, (s, _) in specs.items()])
+    return drawn.selectExpr("id", *[f"{normal(SPARK, s, kind, 'id', table, f'draw_{c}')} as {c}" for c, (s, kind) in specs.items()])
+
+
 def quotas(s: Stats, n: int) -> tuple[int, list[int], list[int], list[int]]:
     """Exact counts for n rows: nulls, rows of each most common value, rows of each bucket, distinct values of each."""
     nulls = round(s.null_frac * n)

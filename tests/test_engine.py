@@ -56,6 +56,12 @@ def test_histogram_of_few_rows(spark):
     assert P.histogram(df.limit(0), "x", 2).collect() == []
 
 
+def test_draws_made_once_are_the_same(spark):
+    s = G.Stats("x", 0.1, [(500, 0.3), (7, 0.2)], [0, 100, 200, 200, 1000], 400)
+    once = G.normal_columns(spark.range(500), {"x": (s, "bigint")}).collect()
+    assert once == spark.range(500).selectExpr("id", f"{G.normal(prng.SPARK, s, 'bigint', 'id')} as x").collect()
+
+
 def test_unique_and_composite(spark):
     got = sorted(r[0] for r in G.unique_integers(spark, 6, 10, [11, 500, 3]).collect())
     assert got == [3, 10, 11, 12, 13, 500]
