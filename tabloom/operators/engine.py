@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tabloom.operators import validate
 from tabloom.operators.graph import Edge, levels
@@ -48,3 +48,18 @@ def generate(spark: SparkSession, plan: dict[str, tuple[int, Maker, Callable[[di
 def write(tables: dict[str, DataFrame], folder: str, files: int = 8) -> None:
     for name, df in tables.items():
         df.repartition(files, F.col("row_id")).sortWithinPartitions("row_id").write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
+def write_observed(df: DataFrame, path: str) -> int:
+    """Write df and tell how many rows went out, counted on the way and not by a second pass."""
+    seen = Observation("written")
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return seen.get["rows"]
+
+
+def register(spark: SparkSession, tables: dict[str, DataFrame], database: str = "default") -> None:
+    """Save tables in the catalog and compute the statistics of all their columns, for the cost-based optimiser."""
+    spark.sql(f"create database if not exists {database}")
+    for name, df in tables.items():
+        df.write.mode("overwrite").saveAsTable(f"{database}.{name}")
+        spark.sql(f"analyze table {database}.{name} compute statistics for all columns")

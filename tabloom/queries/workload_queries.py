@@ -115,6 +115,7 @@ def _stored(s, sf):
 
 
 ALL["snk1_load"] = (_stored, "select count(*) as n, sum(o_orderkey)::bigint as keys from orders")
+ALL["snk5_progress"] = (lambda s, sf: s.createDataFrame([(E.write_observed(read(s, sf, "customer"), shared(s)),)], "written long"), "select count(*) as written from customer")
 ALL["snk3_csv_cell"] = (lambda s, sf: s.createDataFrame([(1, "a", 5), (2, None, None)], "id long, t string, n long").select("id", X.cell(F.col("t")).alias("t"), X.cell(F.col("n"), True).alias("n")), "select * from (values (1, 'a', '{5}'), (2, 'NULL_MARKER', 'NULL_MARKER')) v(id, t, n)")
 ALL["snk4_line_no"] = (lambda s, sf: s.createDataFrame([("ERROR: duplicate key, line 17, column x",), ("no number",), ("line  3",)], "m string").select("m", X.error_line(F.col("m")).alias("line")), r"select m, coalesce(try_cast(nullif(regexp_extract(m, 'line\s+(\d+)', 1), '') as int), -1) as line from (values ('ERROR: duplicate key, line 17, column x'), ('no number'), ('line  3')) v(m)")
 ALL["snk8_explain"] = (lambda s, sf: s.createDataFrame([(scope.explain(read(s, sf, "orders").where("o_orderkey = 100"))[:4000],)], "plan string").selectExpr("plan like '%o_orderkey%' as names_column"), "select true as names_column")

@@ -99,6 +99,15 @@ def test_write(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/t.parquet").count() == 10
 
 
+def test_register(spark):
+    engine.register(spark, {"registered": spark.range(7)}, "tabloom_test")
+    try:
+        found = spark.sql("describe extended tabloom_test.registered id").collect()
+        assert {r["info_name"]: r["info_value"] for r in found}["distinct_count"] == "7"
+    finally:
+        spark.sql("drop database tabloom_test cascade")
+
+
 HASH = S.Node("Hash Join", children=(S.Node("Seq Scan", "a"), S.Node("Hash", children=(S.Node("Seq Scan", "b"),))))
 LOOP = S.Node("Nested Loop", children=(S.Node("Seq Scan", "a"), S.Node("Seq Scan", "b")))
 
