@@ -7,9 +7,8 @@ it, and only edges within the radius are followed.
 * ``link_fingerprints``: exact for a small radius r. The 64 bits are cut into r + 1 blocks; two fingerprints at most r
   apart agree in one block whole. Blocks of fingerprints with more than ``hot`` members are linked by a second exact
   way: two fingerprints are at most 2 apart if and only if they share one of the 65 values at most 1 away.
-* ``near_groups``: for texts of a given shingle similarity, whose fingerprints lie much further apart. Shards are keyed
-  by bands of minimum hashes, trees are searched with a wide radius and what they find is verified on the exact sets of
-  shingles.
+* ``near_groups``: for texts of a given shingle similarity, whose fingerprints may lie any number of bits apart. No
+  fingerprint decides: every pair that shares a band of minimum hashes is verified on the exact sets of shingles.
 """
 
 from __future__ import annotations
@@ -157,46 +156,26 @@ def _bands(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, raw (a hash of the text), fp, node (a hash of the normalised words) and one hash per band; texts without
+    """doc_id, raw (a hash of the text), node (a hash of the normalised words) and one hash per band; texts without
     words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, fps, nodes, keys = [], [], [], []
+            at, nodes, keys = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 words = (t or b"").lower().split()
                 if not words:
                     continue
                 h = np.unique(shingle_hashes(t, size))
                 at.append(i)
-                fps.append(fingerprint(h))
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED + 1))
                 keys.append(_bands(h, bands, rows).view(np.int64).tolist())
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             own = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(2).take(own), as_long(fps), as_long(nodes), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "raw", "fp", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(2).take(own), as_long(nodes), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "raw", "node", "bands"])
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text"))
-    return own.mapInArrow(run, "doc_id long, raw long, fp long, node long, bands array<long>")
-
-
-def _band_edges(shards: DataFrame, radius: int) -> DataFrame:
-    """(u, v) from (shard, band, node, fp): nodes of one band whose fingerprints lie within the radius."""
-
-    def run(table: pa.Table) -> pa.Table:
-        band, node, fp = (table.column(c).to_numpy() for c in ("band", "node", "fp"))
-        order = np.lexsort((node, band))
-        band, node, fp = band[order], node[order], fp[order]
-        cut = np.flatnonzero(np.r_[True, band[1:] != band[:-1], True]) if len(band) else np.zeros(1, int)
-        us, vs = [], []
-        for lo, hi in zip(cut, cut[1:], strict=False):
-            a, b = _shard_links(fp[lo:hi], radius)
-            us.append(node[lo:hi][a])
-            vs.append(node[lo:hi][b])
-        join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-        return pa.table({"u": join(us), "v": join(vs)})
-
-    return shards.groupBy("shard").applyInArrow(run, "u long, v long")
+    return own.mapInArrow(run, "doc_id long, raw long, node long, bands array<long>")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -206,57 +185,60 @@ def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def _verified(blocks: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
-    """(u, v) from (root, p, q, block, node, fp, text): pairs of block p with block q, or within one, that have the similarity."""
+def _verified(dealt: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(u, v) from (part, p, q, block, node, bands, text): pairs of block p with block q, or within one, that share a
+    band and have the similarity; those that other pairs link already are left out."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, fp, block = (table.column(c).to_numpy() for c in ("node", "fp", "block"))
+        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
         sets = [np.unique(shingle_hashes(t, size)) for t in table.column("text").to_pylist()]
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
         forest, us, vs = Forest(len(node)), [], []
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        for i, j in BKTree(fp[right].view(np.uint64)).within(fp[left].view(np.uint64), radius):
-            for x, y in zip(left[i].tolist(), right[j].tolist(), strict=True):
-                if x != y and forest.find(x) != forest.find(y) and _similar(sets[x], sets[y], similarity):
+        right = np.flatnonzero(block == q)
+        for x in np.flatnonzero(block == p).tolist():
+            near = right[(bands[right] == bands[x]).any(1)]
+            for y in near[near > x if p == q else near != x].tolist():
+                if forest.find(x) != forest.find(y) and _similar(sets[x], sets[y], similarity):
                     forest.join(x, y)
                     us.append(node[x])
                     vs.append(node[y])
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return blocks.groupBy("root", "p", "q").applyInArrow(run, "u long, v long")
+    return dealt.groupBy("part", "p", "q").applyInArrow(run, "u long, v long")
 
 
-def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 18, bands: int = 20, rows: int = 4, shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, shard_rows: int = 1024, block_rows: int = 1024) -> DataFrame:
     """(doc_id, raw, group_id), raw being xxhash64 of the text: the smallest doc_id of the texts linked by a Jaccard similarity of at least `similarity` of
     their sets of shingles. Each text that has words gets a row.
 
-    Exact copies (equal words) are one node. Nodes meet in shards keyed by bands of minimum hashes, whose trees find
-    fingerprints within the radius; the groups so found are verified on whole texts, in pairs of blocks of block_rows
-    nodes, so that a group of any size needs no more memory than two blocks. Only a spanning forest of the links goes
-    on. In a band shared by more than shard_rows nodes no tree is built: its nodes all count as found, and verification,
-    which covers all pairs of a group, decides. Rows without doc_id have groups too; a group without any id has none."""
+    Exact copies (equal words) are one node. Nodes that share a band of minimum hashes meet under the least node of the
+    band, and every two of them are verified on whole texts. Nodes under one least node are a set; sets of up to
+    block_rows nodes are dealt into shards of about shard_rows nodes, larger ones are worked on in pairs of blocks, so
+    that a set of any size needs no more memory than two blocks. Only a spanning forest of the links goes on. Rows
+    without doc_id have groups too; a group without any id has none."""
     own = stored(_sketches(docs, size, bands, rows), "near-sketches")
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands"))
     nodes = stored(nodes, "near-nodes")
-    keys = nodes.select("node", "fp", F.posexplode("bands").alias("k", "band"))
-    sizes = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
-    keys = stored(keys.join(sizes, "band"), "near-bands")
-    cold = keys.where(F.col("n") <= shard_rows)
-    shards = max(1, -(-cold.count() // shard_rows))
-    edges = _band_edges(cold.select(F.pmod(F.xxhash64("band"), F.lit(shards)).alias("shard"), "band", "node", "fp"), radius)
-    crowded = keys.where(F.col("n") > shard_rows).select(F.col("node").alias("u"), F.col("low").alias("v"))
-    rough = stored(components(edges.unionByName(crowded), "near-rough"), "near-roots")
-    counts = rough.groupBy("root").agg(F.count("*").alias("members"))
+    keys = nodes.select("node", F.explode("bands").alias("band"))
+    lows = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1").select("band", "low")
+    members = stored(keys.join(lows, "band").select("low", "node").distinct(), "near-members")
+    counts = stored(members.groupBy("low").agg(F.count("*").alias("members")), "near-counts")
+    few = counts.where(F.col("members") <= block_rows).agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    shard = F.pmod(F.xxhash64("low"), F.lit(max(1, -(-few // shard_rows))))
+    members = members.join(small(counts), "low")
     blocks = F.ceil(F.col("members") / block_rows).cast("int")
-    members = rough.join(counts, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-    members = members.join(nodes.select("node", "fp", "least"), "node")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
+    large = members.where(F.col("members") > block_rows).withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    large = large.select(F.struct(F.lit(True).alias("large"), F.col("low").alias("of")).alias("part"), "node", "block", F.inline(pairs))
+    cold = members.where(F.col("members") <= block_rows).select(F.struct(F.lit(False).alias("large"), shard.alias("of")).alias("part"), "node").distinct()
+    cold = cold.select("part", "node", *[F.lit(0).alias(c) for c in ("block", "p", "q")])
     id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id")
-    first = own.select(id_of, "raw", "node").join(small(rough.select("node")), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "raw")).alias("x")).select("node", "x.*")
+    first = own.select(id_of, "raw", "node").join(small(members.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "raw")).alias("x")).select("node", "x.*")
     texts = docs.select(id_of, F.xxhash64("text").alias("raw"), F.col("text").cast("binary").alias("text"))
     texts = texts.join(small(stored(first, "near-first")), ["id", "raw"]).dropDuplicates(["node"])
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
-    dealt = members.join(texts.select("node", "text"), "node").select("root", "node", "fp", "block", "text", F.inline(pairs))
-    exact = components(_verified(dealt, size, similarity, radius), "near-exact")
+    texts = texts.select("node", "text").join(nodes.select("node", "bands"), "node")
+    exact = components(_verified(cold.unionByName(large).join(texts, "node"), size, similarity), "near-exact")
     rooted = nodes.join(exact, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("group_id"))
     of = rooted.join(named, "root").select("node", "group_id")

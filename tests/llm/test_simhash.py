@@ -98,3 +98,14 @@ def test_near_groups(spark, limits):
     if not limits:
         lost = {i for i, g in brute.near_rows(docs) if i != g}
         assert rows(simhash.one_of_each(df)) == sorted([d for d in docs if d[0] not in lost], key=repr)
+
+
+def test_near_groups_of_distant_fingerprints(spark):
+    r, docs, far = np.random.default_rng(11), [], 0
+    for g in range(200):
+        words = [f"w{i}" for i in r.integers(0, 10**6, 9)]
+        a, b = " ".join(words[:8]), " ".join(words)
+        far += (brute.simhash(a, 5) ^ brute.simhash(b, 5)).bit_count() > 18
+        docs += [(2 * g, a), (2 * g + 1, b)]
+    assert far
+    assert rows(simhash.near_groups(frame(spark, docs)).drop("raw")) == sorted(brute.near_rows(docs), key=repr)
