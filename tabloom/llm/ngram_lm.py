@@ -315,7 +315,7 @@ class Model:
         return raw[of], np.log10(p)
 
 
-def train(texts: DataFrame, order: int = 2, shard_chars: int = 8 << 20) -> Model:
+def train(texts: DataFrame, order: int = 3, shard_chars: int = 8 << 20) -> Model:
     """The model of all rows of texts (a binary column). The ranges are as many as the corpus needs at shard_chars
     bytes each, so that a task's memory doesn't grow with it."""
     spark = texts.sparkSession
@@ -338,7 +338,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text, a row per row; the model
     learns from the rows that are not held out.
 

@@ -44,7 +44,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.lm_scores(table(spark, sf_dir, "documents"), order=2)
+    return ngram_lm.lm_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from tabloom.llm import ngram_lm as L
+from tabloom.llm import ngram_lm as L, queries
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -85,3 +85,8 @@ def test_held_out_gain(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     own = L.lm_scores(df).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert own["s"] > own["b"]
+
+
+def test_query_is_of_order_three(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    same(queries.op9_lm(spark, "/root/testdata/sf0.001").collect(), brute([(r.doc_id, r.text) for r in df.collect()], 3))
