@@ -122,11 +122,11 @@ ALL["gen23_replay"] = (lambda s, sf: G.slice_of(G.ranked(read(s, sf, "part"), ["
 
 
 def _one_to_one(s, sf):
-    return G.one_to_one(s, 50, read(s, sf, "supplier").where("s_suppkey < 97"), ["s_suppkey"]).agg(F.count("*").alias("n"), F.count_distinct("s_suppkey").alias("different"), F.count("s_suppkey").alias("filled"))
+    return G.one_to_one(s, 50, read(s, sf, "supplier"), ["s_suppkey"]).agg(F.count("*").alias("n"), F.count_distinct("s_suppkey").alias("different"), F.count("s_suppkey").alias("filled"))
 
 
 def _one_to_one_pairs(s, sf):
-    return G.one_to_one(s, 500, _pairs(s, sf), ["l_orderkey", "l_linenumber"]).agg(F.count("*").alias("n"), F.count_distinct("l_orderkey", "l_linenumber").alias("different"))
+    return G.one_to_one(s, 500, read(s, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct(), ["l_orderkey", "l_linenumber"]).agg(F.count("*").alias("n"), F.count_distinct("l_orderkey", "l_linenumber").alias("different"))
 
 
 #: A bijection's multiplier depends on the number of keys, so the twins state what must hold of the result.
