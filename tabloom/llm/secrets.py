@@ -1,7 +1,8 @@
 """Secret scans with DataFrame functions only: three fixed patterns, and two character Markov models.
 
 One model is of random strings, one of ordinary identifiers; both count transitions between characters in labelled
-samples. A long run of token characters is reported where the log-likelihood ratio of the two is high enough."""
+samples. A long run of token characters, or a part of one, is reported where the log-likelihood ratio of the two is high
+enough."""
 
 from __future__ import annotations
 
@@ -19,6 +20,9 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 #: The characters of the models. Every other character ends a run.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
+#: Two places of one transition that lie no further apart are a repetition.
+NEAR = 64
+
 #: Parts of ordinary identifiers.
 PARTS = """
 get set user name list index value table column key file path read write open close start stop count total first last
@@ -90,27 +94,64 @@ def _located(text: str, pattern: str, group: int = 0) -> str:
     return f"if({text} rlike {p}, {walk}, {none})"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL of body, in which name stands for the value, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _left(run: str, spans: str, least: int) -> str:
+    """SQL for an array of (lo, hi, g): the stretches of at least `least` characters of the run outside of the spans."""
+    piece = lambda hi: f"if({hi} - s.at >= {least}, array_append(s.out, named_struct('lo', s.at, 'hi', {hi}, 'g', substr({run}.g, s.at - {run}.lo + 1, {hi} - s.at))), s.out)"
+    inside = f"array_sort(filter({spans}, y -> y.start < {run}.hi and {run}.lo < y.end))"
+    none = "array_repeat(named_struct('lo', 0, 'hi', 0, 'g', ''), 0)"
+    return f"aggregate({inside}, named_struct('at', {run}.lo, 'out', {none}), (s, y) -> named_struct('at', greatest(s.at, y.end), 'out', {piece('y.start')}), s -> {piece(f'{run}.hi')})"
+
+
+def _random(run: str, ratios: list[int], least: int, threshold: int) -> str:
+    """SQL for an array of (lo, hi): the whole run where its log-likelihood ratio is high enough, else parts of it."""
+    size = len(ALPHABET)
+    table = "array(" + ",".join(map(str, ratios)) + ")"
+    place = f"(locate(a, '{ALPHABET}') - 1) * {size} + locate(b, '{ALPHABET}') - 1"
+    steps = f"filter(zip_with(c, slice(c, 2, size(c)), (a, b) -> if(b is null, -1, {place})), p -> p >= 0)"
+    llr = f"aggregate(array_distinct(t), 0, (s, p) -> s + w[p])"
+    body = f"if({llr} >= {threshold}, array(named_struct('lo', {run}.lo, 'hi', {run}.hi)), {_parts(run, 'w', least, threshold)})"
+    return _let(table, "w", _let(f"split({run}.g, '')", "c", _let(steps, "t", body)))
+
+
+def _parts(run: str, table: str, least: int, threshold: int) -> str:
+    """SQL for an array of (lo, hi): the stretches of the run with the transitions t whose sum is a running maximum of at
+    least threshold. A stretch ends where the sum falls to zero or by threshold; a transition that also stands at most
+    NEAR before counts as zero. What is found is widened to whole letters and digits."""
+    sorted_ = "array_sort(transform(t, (p, i) -> named_struct('p', p, 'i', i)))"
+    value = f"if(a.p = b.p and a.i - b.i <= {NEAR}, 0, {table}[a.p])"
+    fresh = _let(sorted_, "o", f"array_sort(filter(zip_with(o, concat(array(named_struct('p', -1, 'i', 0)), o), (a, b) -> named_struct('i', a.i, 'v', {value})), z -> z.i is not null))")
+    none = "array_repeat(named_struct('lo', 0, 'hi', 0), 0)"
+    out = f"if(s.best >= {threshold}, array_append(s.out, named_struct('lo', s.lo, 'hi', s.hi)), s.out)"
+    zero = "cast(0 as bigint)"
+    over = f"s.sum + z.v <= 0 or s.sum + z.v <= s.best - {threshold}"
+    step = f"if({over}, named_struct('sum', {zero}, 'lo', z.i + 1, 'best', {zero}, 'hi', 0, 'out', {out}), named_struct('sum', s.sum + z.v, 'lo', s.lo, 'best', greatest(s.best, s.sum + z.v), 'hi', if(s.sum + z.v > s.best, z.i + 2, s.hi), 'out', s.out))"
+    found = f"aggregate({fresh}, named_struct('sum', {zero}, 'lo', 0, 'best', {zero}, 'hi', 0, 'out', {none}), (s, z) -> {step}, s -> {out})"
+    lo = f"{run}.lo + y.lo + 1 - length(regexp_extract(reverse(substr({run}.g, 1, y.lo + 1)), '^[A-Za-z0-9]*', 0))"
+    hi = f"{run}.lo + y.hi - 1 + length(regexp_extract(substr({run}.g, y.hi), '^[A-Za-z0-9]*={{0,2}}', 0))"
+    return f"array_distinct(filter(transform({found}, y -> named_struct('lo', {lo}, 'hi', {hi})), y -> y.hi - y.lo >= {least}))"
+
+
 def scan(docs: DataFrame, ratios: list[int], least_run: int = 20, threshold: int = 15_000) -> DataFrame:
     """docs' columns and secrets: an array of (start, kind, end) by start, then kind (an index of KINDS); code points,
     end exclusive. A null or empty text has none; null ids and repeated rows stay as they are.
 
-    assign, access and hex are the fixed patterns. markov: a whole run of at least least_run characters of the alphabet,
-    whose log-likelihood ratio is at least threshold milli-nats, each transition counted once (what repeats is not
-    random), and that overlaps none of the others."""
-    size = len(ALPHABET)
-    table = "array(" + ",".join(map(str, ratios)) + ")"
+    assign, access and hex are the fixed patterns. markov: of what these leave of the runs of characters of the alphabet,
+    each stretch of at least least_run characters whose log-likelihood ratio is at least threshold milli-nats, each
+    transition counted once (what repeats is not random); of other stretches the parts that _parts finds."""
     own = "secret_scan_text"
-    chars = "split(x.g, '')"
-    place = f"(locate(a, '{ALPHABET}') - 1) * {size} + locate(b, '{ALPHABET}') - 1"
-    steps = f"array_distinct(zip_with({chars}, slice({chars}, 2, length(x.g)), (a, b) -> if(b is null, -1, {place})))"
-    llr = f"aggregate(filter({steps}, p -> p >= 0), 0, (s, p) -> s + {table}[p])"
     kind = lambda k, spans: F.expr(f"transform({spans}, x -> named_struct('start', x.lo, 'kind', {k}, 'end', x.hi))")
     base = F.concat(
         kind(0, f"filter({_located(own, ASSIGN, 2)}, x -> length(x.g) >= {LEAST_VALUE})"),
         kind(1, f"filter({_located(own, ACCESS)}, x -> length(x.g) >= {LEAST_ACCESS})"),
         kind(2, _located(own, HEX)),
     )
-    runs = f"filter({_located(own, '[A-Za-z0-9+/_=-]{%d,}' % least_run)}, x -> not exists(secret_scan_base, y -> y.start < x.hi and x.lo < y.end) and {llr} >= {threshold})"
+    free = _left("x", "secret_scan_base", least_run)
+    runs = f"flatten(transform({_located(own, '[A-Za-z0-9+/_=-]{%d,}' % least_run)}, x -> flatten(transform({free}, r -> {_random('r', ratios, least_run, threshold)}))))"
     named = docs.withColumn(own, F.coalesce(F.col("text"), F.lit(""))).withColumn("secret_scan_base", base)
     return named.withColumn("secrets", F.array_sort(F.concat("secret_scan_base", kind(3, runs)))).drop(own, "secret_scan_base")
 

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 
@@ -70,3 +71,17 @@ def test_untrained(spark):
     empty = secrets.train(spark.createDataFrame([], "text string, random boolean"))
     assert set(empty) == {0}
     assert secrets.train(spark.createDataFrame([(None, True), ("a", False)], "text string, random boolean")) == empty
+
+
+def test_random_parts_of_runs(spark, ratios):
+    path, tail = "/application/configuration/environment/server/session/", "/customer/information/account/version/"
+    tokens = [base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode()[:40] for i in range(30)]
+    alone = [re.sub("[+/]", "x", t)[:32] for t in tokens]
+    texts = [f"{path}{t}" for t in alone] + [f"{path}{t}{tail}" for t in tokens] + [f"{path}{a}{tail}{b}" for a, b in zip(alone, alone[1:])] + [path, path + tail * 20]
+    texts += [f"{'0f' * 14}/{t}" for t in alone]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(secrets.scan(df, ratios)).collect()}
+    kept = [t for x, i in zip(texts, range(len(texts))) for t in (*alone, *tokens) if t in x and t[4:-4] in got[i]]
+    assert kept == []
+    assert all(got[i].startswith(path) for i in range(60))
+    assert got[texts.index(path)] == path and got[texts.index(path + tail * 20)] == path + tail * 20
