@@ -12,10 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's setting that lets shuffle files go as soon as the query that made them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where it is unset, as in tests, a folder of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own if Spark runs in
+    one process, as in tests; on a cluster that is an error, since its machines would not see each other's files."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -23,13 +30,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, so that what follows neither repeats the work nor
-    depends on executors that made it."""
+    depends on executors that made it. What the writing shuffled goes with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Delete the files of a table that stored() gave and nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def joined(large: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", parts: int = 512) -> DataFrame:
+    """large joined with unique, which has one row at most for each of the keys (named alike in both, not null).
+
+    Keys that hold more than a `parts`th of large's rows are `parts` at most, whatever the size: their rows of unique are
+    broadcast, and large's rows with them stay where they are. All other keys are shuffled, and none of them makes a
+    task much larger than others."""
+    counts = large.groupBy(*keys).agg(F.count("*").alias("joined_n"))
+    total = large.count()
+    hot = stored(counts.where(F.col("joined_n") > max(100, total // parts)).select(*keys), "joined-hot")
+    if not hot.head(1):
+        return large.join(unique, keys, how)
+    hot_unique = F.broadcast(unique.join(F.broadcast(hot), keys, "left_semi"))
+    marked = F.broadcast(hot)
+    return large.join(marked, keys, "left_semi").join(hot_unique, keys, how).unionByName(large.join(marked, keys, "left_anti").join(unique, keys, how))
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df, marked for broadcast if it has at most `most` rows (of a few numbers each); larger ones are shuffled."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

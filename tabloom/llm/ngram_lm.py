@@ -9,8 +9,6 @@ counts and file names comes to the driver."""
 from __future__ import annotations
 
 import mmap
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,14 +18,14 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.llm._common import shared_dir, stored
+from tabloom.llm._common import removed, shared_dir, stored
 
 U = np.uint64
 MIX, TURN = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 #: Hashes of the end of a text and of what stands before its first word.
 END, BEGIN = U(0x1B873593CC9E2D51), U(0x85EBCA77C2B2AE63)
-#: Tokens that a task counts or scores at a time.
-COUNTED, SCORED = 3 << 19, 1 << 18
+#: Tokens that a task counts or scores at a time; ranges of the model that a worker keeps open.
+COUNTED, SCORED, MAPS = 3 << 19, 1 << 18, 4096
 
 
 @lru_cache(None)
@@ -91,46 +89,75 @@ def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(context * MIX ^ word)
 
 
-def _summed(keys: tuple[np.ndarray, ...], sums: tuple[np.ndarray, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows sorted by keys, equal keys as one, with the sums of theirs."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    at = np.flatnonzero(new)
-    return [k[at] for k in keys], [np.add.reduceat(s[order], at) if len(at) else s[:0] for s in sums]
+def _least_type(a: np.ndarray) -> np.ndarray:
+    """a in the narrowest unsigned type that holds it."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if top < 1 << 8 * n), copy=False)
 
 
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    head = np.array([len(arrays), *map(len, arrays)], np.int64)
-    return b"".join([head.tobytes(), *(a.astype("<u8", copy=False).tobytes() if a.dtype == U else a.astype("<u4").tobytes() for a in arrays)])
+def _pack(arrays: list[np.ndarray], squeeze: bool) -> bytes:
+    """Arrays one after another behind a header of widths, lengths and sizes; squeezed: like bytes side by side, then
+    compressed, for what is moved and read whole; else as they are, each from a multiple of 8 on, to be mapped."""
+    head, body = [len(arrays)], []
+    for a in map(_least_type, arrays):
+        data = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T if squeeze else a).tobytes()
+        data = pa.compress(data, "zstd", asbytes=True) if squeeze and data else data + bytes(-len(data) % 8)
+        head += [a.itemsize, len(a), len(data)]
+        body.append(data)
+    return b"".join([np.array(head, np.int64).tobytes(), *body])
 
 
-def _unpack(blob: bytes, wide: list[bool]) -> list[np.ndarray]:
+def _unpack(blob, squeezed: bool) -> list[np.ndarray]:
     n = int(np.frombuffer(blob, np.int64, 1)[0])
-    sizes, at, out = np.frombuffer(blob, np.int64, n, 8), 8 * (n + 1), []
-    for size, w in zip(sizes.tolist(), wide, strict=True):
-        out.append(np.frombuffer(blob, "<u8" if w else "<u4", size, at))
-        at += size * (8 if w else 4)
+    at, out = 8 * (3 * n + 1), []
+    for width, length, size in np.frombuffer(blob, np.int64, 3 * n, 8).reshape(n, 3).tolist():
+        if squeezed and length:
+            data = pa.decompress(memoryview(blob)[at : at + size], width * length, "zstd", asbytes=True)
+            out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, length).T).view(f"<u{width}").ravel())
+        else:
+            out.append(np.frombuffer(blob, f"<u{width}", length, at))
+        at += size
+    return out
+
+
+def _merged(ids: list[np.ndarray], kinds: int, sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of ids (each below kinds) in lexicographic order, with the sums of theirs."""
+    bits = max(1, (kinds - 1).bit_length())
+    if bits * len(ids) <= 64:
+        key = ids[0].astype(U)
+        for x in ids[1:]:
+            key = key << U(bits) | x.astype(U)
+    else:
+        key = ids[0].astype(U)
+        for x in ids[1:]:
+            key = np.unique(key, return_inverse=True)[1].astype(U) << U(32) | x.astype(U)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    return [x[order[new]] for x in ids], [np.add.reduceat(x[order].astype(U), new) if len(new) else x[:0].astype(U) for x in sums]
+
+
+def _context(words: list[np.ndarray]) -> np.ndarray:
+    """The hash that contexts() gives, of columns of words, the oldest first."""
+    out = np.zeros(len(words[0]), U)
+    for w in reversed(words[:-1]):
+        out = _mixed(out * MIX + w)
     return out
 
 
-def _dealt(backs: list[np.ndarray], word: np.ndarray, counts: np.ndarray, raw: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    """(shard, blob) of n-grams dealt out by context, or by word where there is none. backs: hashes of ever shorter
-    contexts; a context's own is first. Rows of one context lie together, so that it is stored once."""
-    key = (backs[0] if len(backs) > 1 else word) % U(shards)
-    order = np.lexsort((word, backs[0], key))
-    backs, word, counts, raw, key = [b[order] for b in backs], word[order], counts[order], raw[order], key[order]
-    cut = np.searchsorted(key, np.arange(shards + 1, dtype=U))
-    for s in range(shards):
-        lo, hi = cut[s], cut[s + 1]
-        if lo < hi:
-            own = backs[0][lo:hi]
-            new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            fan = np.diff(np.r_[new, hi - lo]).astype(np.uint32)
-            yield s, _pack([fan, *(b[lo:hi][new] for b in backs), word[lo:hi], counts[lo:hi].astype(np.uint32), raw[lo:hi].astype(np.uint32)])
+def _dealt(kinds: np.ndarray, ids: list[np.ndarray], counts: np.ndarray, raw: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """(shard, blob) of n-grams dealt out by context, or by word where there is none. kinds: hashes of words, sorted;
+    ids: places in it, a column for each word. A blob has the words that it needs, and their places in those."""
+    key = (_context([kinds[x] for x in ids]) if len(ids) > 1 else kinds[ids[0]]) % U(shards)
+    order = np.argsort(key, kind="stable")
+    cut = np.searchsorted(key[order], np.arange(shards + 1, dtype=U))
+    for s in np.flatnonzero(np.diff(cut)).tolist():
+        own = order[cut[s] : cut[s + 1]]
+        part = [x[own] for x in ids]
+        used = np.unique(np.concatenate(part))
+        part = [np.searchsorted(used, x).astype(np.uint32) for x in part]
+        n, r = counts[own], raw[own]
+        yield s, _pack([np.diff(kinds[used], prepend=U(0)), *part, n, r[:0] if np.array_equal(n, r) else r], True)
 
 
 def _count(texts: DataFrame, order: int, shards: int) -> DataFrame:
@@ -141,25 +168,25 @@ def _count(texts: DataFrame, order: int, shards: int) -> DataFrame:
 
         def flush():
             nonlocal waiting, size
-            backs = [np.concatenate([w[0][i] for w in waiting]) for i in range(order - 1 if order > 2 else 0)]
-            longest = np.concatenate([w[0][-1] for w in waiting])
-            word = np.concatenate([w[1] for w in waiting])
+            words, per = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
             waiting, size = [], 0
-            keys, (n,) = _summed((longest, word), (np.ones(len(word), np.uint32),))
-            if order > 2:  # shorter contexts follow from the longest one
-                _, at = np.unique(longest, return_index=True)
-                place = np.searchsorted(longest[at], keys[0])
-                shorter = [backs[i][at][place] for i in range(order - 2, -1, -1)]
-            else:
-                shorter = [np.zeros(len(n), U)] * (order - 1)
-            rows = list(_dealt([keys[0], *shorter], keys[1], n, n, shards))
+            kinds, ids = np.unique(np.r_[words, BEGIN], return_inverse=True)
+            begin, ids = ids[-1].astype(np.uint32), ids[:-1].astype(np.uint32)
+            place = np.arange(len(words)) - np.repeat(np.cumsum(per) - per, per)
+            columns = []
+            for back in range(order - 1, -1, -1):
+                column = np.full(len(ids), begin)
+                column[back:] = np.where(place[back:] >= back, ids[: len(ids) - back], begin)
+                columns.append(column)
+            del words, place
+            ids, (n,) = _merged(columns, len(kinds), [np.ones(len(ids), np.uint8)])
+            rows = list(_dealt(kinds, ids, n, n, shards))
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "blob"])
 
         for b in batches:
             for part in _parts(b.column(0)):
-                words, per = tokens(part)
-                waiting.append((contexts(words, per, order), words))
-                size += len(words)
+                waiting.append(tokens(part))
+                size += len(waiting[-1][0])
                 if size >= COUNTED:
                     yield flush()
         if waiting:
@@ -182,74 +209,107 @@ def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri else (pyarrow.fs.LocalFileSystem(), uri.removeprefix("file:"))
 
 
-def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+def _save(folder: str, name: str, arrays: list[np.ndarray]) -> None:
     """A repeated or speculative attempt writes the same bytes under another name first."""
     fs, path = _filesystem(folder)
     fs.create_dir(path, recursive=True)
-    for key, a in arrays.items():
-        own = f"{path}/.{uuid.uuid4().hex}"
-        with fs.open_output_stream(own) as f:
-            f.write(memoryview(np.ascontiguousarray(a)).cast("B") if len(a) else b"")
-        fs.move(own, f"{path}/{name}-{key}")
+    own = f"{path}/.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as f:
+        f.write(_pack(arrays, False))
+    fs.move(own, f"{path}/{name}")
 
 
-@lru_cache(None)
-def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
-    """An array of the model: the shared file itself where it has a path here, else a copy that is gone with the worker."""
+@lru_cache(MAPS)
+def _mapped(folder: str, name: str) -> list[np.ndarray] | None:
+    """The arrays of one range, mapped from the shared file where that has a path here, else read; as many ranges stay
+    open as MAPS at most. None where no n-gram fell into the range."""
     fs, path = _filesystem(f"{folder}")
     path = f"{path}/{name}"
-    if not isinstance(fs, pyarrow.fs.LocalFileSystem):
-        handle, own = tempfile.mkstemp()
-        with fs.open_input_stream(path) as f:
-            while part := f.read(1 << 24):
-                os.write(handle, part)
-    else:
-        handle, own = os.open(path, os.O_RDONLY), None
-    size = os.fstat(handle).st_size
-    out = np.frombuffer(mmap.mmap(handle, size, prot=mmap.PROT_READ), dtype) if size else np.empty(0, dtype)
-    os.close(handle)
-    if own:
-        os.unlink(own)
-    return out
+    try:
+        if not isinstance(fs, pyarrow.fs.LocalFileSystem):
+            with fs.open_input_stream(path) as f:
+                return _unpack(f.read(), False)
+        with open(path, "rb") as f:
+            return _unpack(mmap.mmap(f.fileno(), 0, prot=mmap.PROT_READ), False)
+    except FileNotFoundError:
+        return None
+
+
+def _indexed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each bucket of a sorted hash array starts, the 32 bits of each hash that follow the bucket's, and the order.
+    A bucket is known by as many leading bits as give it about a dozen hashes."""
+    bits = max(1, min(28, len(keys).bit_length() - 4))
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
+    return starts, (keys >> U(32 - bits) & U(0xFFFFFFFF)), order
+
+
+def _looked_up(starts: np.ndarray, low: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are there, and where: binary searches within buckets, all at once."""
+    bits = (len(starts) - 1).bit_length() - 1
+    bucket = (keys >> U(64 - bits)).astype(np.int64)
+    want = (keys >> U(32 - bits) & U(0xFFFFFFFF)).astype(np.uint32)
+    lo, hi = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
+    end = hi.copy()
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) >> 1
+        less = low[mid] < want[open_]
+        lo[open_[less]] = mid[less] + 1
+        hi[open_[~less]] = mid[~less]
+        open_ = open_[lo[open_] < hi[open_]]
+    there = lo < end
+    there[there] = low[lo[there]] == want[there]
+    return there, lo
+
+
+def _coded(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each row the number of its combination, and the combinations, column by column; that of ones and zeros, as
+    most rows have it, is the first."""
+    plain = np.logical_and.reduce([c == (i < 2) for i, c in enumerate(columns)])
+    rest = [c[~plain].astype(U) for c in columns]
+    code, at = np.zeros(len(rest[0]), np.int64), np.zeros(len(rest[0]), np.int64)
+    for c in rest:
+        kinds, c = np.unique(c, return_inverse=True)
+        _, at, code = np.unique(code * max(1, len(kinds)) + c, return_index=True, return_inverse=True)
+    codes = np.zeros(len(plain), U)
+    codes[~plain] = code.astype(U) + U(1)
+    return [codes, *(np.r_[U(i < 2), c[at]] for i, c in enumerate(rest))]
 
 
 def _gather(blobs: DataFrame, order: int, shards: int, folder: str) -> DataFrame:
     """Write the arrays of one order; a row per shard: counts of counts (n1 to n4), their number, the sum of counts, the
-    raw sum, and as `next` the blobs of the next lower order."""
+    raw sum, and as `next` the blobs of the next lower order.
+
+    A range's arrays: of its n-grams the index, counts by code and (for words) raw counts, or of its contexts the index,
+    and by code the sum of counts and how many words have a count of 1, of 2, of more."""
 
     def run(table: pa.Table) -> pa.Table:
-        backs, words, counts, raws = [[] for _ in range(order)], [], [], []
-        for blob in table.column("blob").to_pylist():
-            fan, *rest = _unpack(blob, [False, *[True] * (order + 1), False, False])
-            for i in range(order):
-                backs[i].append(rest[i].repeat(fan))
-            words.append(rest[order])
-            counts.append(rest[order + 1])
-            raws.append(rest[order + 2])
-        word = np.concatenate(words)
-        del words
-        context = np.concatenate(backs[0])
-        order_of = np.lexsort((word, context)).astype(np.uint32)
-        context, word = context[order_of], word[order_of]
-        new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
-        add = lambda x: np.add.reduceat(np.concatenate(x)[order_of].astype(np.uint64), new)
-        n, raw = add(counts), add(raws)
-        shorter = [np.concatenate(b)[order_of][new] for b in backs[1:]]
-        context, word = context[new], word[new]
+        parts = [_unpack(blob, True) for blob in table.column("blob").to_pylist()]
+        own = [np.cumsum(p[0], dtype=U) for p in parts]
+        kinds = np.unique(np.concatenate(own))
+        places = [np.searchsorted(kinds, k).astype(np.uint32) for k in own]
+        ids = [np.concatenate([at[p[1 + i]] for p, at in zip(parts, places, strict=True)]) for i in range(order)]
+        n = np.concatenate([p[1 + order].astype(np.uint32) for p in parts])
+        raw = np.concatenate([(p[2 + order] if len(p[2 + order]) else p[1 + order]).astype(U) for p in parts])
+        del parts, own, places
+        ids, (n, raw) = _merged(ids, len(kinds), [n, raw])
+        words = [kinds[x] for x in ids]
+        context = _context(words)
         shard = table.column("shard")[0].as_py()
-        own = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-        of = lambda x: np.add.reduceat(x, own)
-        key = _joined(context, word) if order > 1 else word
-        by = np.argsort(key)
-        arrays = {"key": key[by], "n": n[by].astype(np.uint32)}
-        if order == 1:
-            arrays["raw"] = raw[by]
-        else:
-            arrays |= {"context": context[own], "total": of(n)} | {f"few{k}": of((n == k) if k < 3 else (n >= 3)).astype(np.uint32) for k in (1, 2, 3)}
-        _save(folder, f"{order}-{shard}", arrays)
-        rows = list(_dealt(shorter, word, np.ones(len(word), np.uint32), raw, shards)) if order > 1 else []
-        stats = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n), int(n.sum()), int(raw.sum())]
-        rows = [(shard, None, None, *stats)] + [(shard, s, b, *[0] * 7) for s, b in rows]
+        starts, low, by = _indexed(_joined(context, words[-1]) if order > 1 else words[0])
+        _save(folder, f"{order}-{shard}", [starts, low, *_coded([n[by]]), raw[by] if order == 1 else raw[:0]])
+        if order > 1:
+            new = np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in ids[:-1]])])
+            of = lambda x: np.add.reduceat(x.astype(U), new)
+            starts, low, by = _indexed(context[new])
+            _save(folder, f"{order}-{shard}-contexts", [starts, low, *_coded([x[by] for x in (of(n), of(n == 1), of(n == 2), of(n >= 3))])])
+        rows = []
+        if order > 1:
+            shorter, (kept, sums) = _merged(ids[1:], len(kinds), [np.ones(len(n), np.uint8), raw])
+            rows = [(shard, s, b, *[0] * 7) for s, b in _dealt(kinds, shorter, kept, sums, shards)]
+        rows = [(shard, None, None, *[int((n == k).sum()) for k in (1, 2, 3, 4)], len(n), int(n.sum()), int(raw.sum())), *rows]
         return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate([("shard", pa.int32()), ("next", pa.int32()), ("blob", pa.binary()), *((x, pa.int64()) for x in ("n1", "n2", "n3", "n4", "kinds", "total", "raw"))])})
 
     return blobs.groupBy("shard").applyInArrow(run, "shard int, next int, blob binary, n1 long, n2 long, n3 long, n4 long, kinds long, total long, raw long")
@@ -275,24 +335,22 @@ class Model:
         spare = d[0] * few[0] + d[1] * few[1] + d[2] * (few[4] - few[0] - few[1])
         self.rest = spare / self.total if self.total else 1.0
 
-    def _find(self, m: int, of: str, keys: np.ndarray, deal: np.ndarray, what: list[tuple[str, str]]) -> list[np.ndarray]:
-        """The arrays' values at the keys; zero where a key is not there."""
-        out = [np.zeros(len(keys), np.float64) for _ in what]
-        order = np.lexsort((keys, deal))
-        cut = np.searchsorted(deal[order], np.arange(self.shards + 1, dtype=U))
-        for s in range(self.shards):
+    def _find(self, name: str, keys: np.ndarray, deal: np.ndarray, columns: int, plain: int = -1) -> list[np.ndarray]:
+        """The values that the ranges' arrays have for the keys, by code but for the column `plain`; zero where a key is
+        not there."""
+        out = [np.zeros(len(keys)) for _ in range(columns)]
+        shard = deal % U(self.shards)
+        order = np.argsort(shard, kind="stable")
+        cut = np.searchsorted(shard[order], np.arange(self.shards + 1, dtype=U))
+        for s in np.flatnonzero(np.diff(cut)).tolist():
             own = order[cut[s] : cut[s + 1]]
-            if not len(own):
-                continue
-            try:
-                there = _mapped(self.folder, f"{m}-{s}-{of}", "<u8")
-            except FileNotFoundError:  # no n-gram fell into this range
-                continue
-            at = np.searchsorted(there, keys[own])
-            at[at == len(there)] = 0
-            hit = there[at] == keys[own] if len(there) else np.zeros(len(own), bool)
-            for o, (name, kind) in zip(out, what, strict=True):
-                o[own[hit]] = _mapped(self.folder, f"{m}-{s}-{name}", kind)[at[hit]]
+            if arrays := _mapped(self.folder, name.format(s)):
+                starts, low, code, *tables = arrays
+                there, at = _looked_up(starts, low, keys[own])
+                own, at = own[there], at[there]
+                c = code[at]
+                for i, (o, t) in enumerate(zip(out, tables, strict=False)):
+                    o[own] = t[at if i == plain else c]
         return out
 
     def _discounted(self, m: int, n: np.ndarray) -> np.ndarray:
@@ -302,15 +360,15 @@ class Model:
     def score(self, words: np.ndarray, backs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Of each token: its count in training, and log10 of its probability."""
         kinds, of = np.unique(words, return_inverse=True)
-        n, raw = self._find(1, "key", kinds, kinds % U(self.shards), [("n", "<u4"), ("raw", "<u8")])
+        n, raw = self._find("1-{}", kinds, kinds, 2, 1)
         p = ((self._discounted(1, n) / self.total if self.total else np.zeros(len(n))) + self.rest / (self.vocabulary + 1))[of]
         for m in range(2, self.order + 1):
             kinds, at = np.unique(backs[m - 1], return_inverse=True)
-            total, *few = self._find(m, "context", kinds, kinds % U(self.shards), [("total", "<u8"), ("few1", "<u4"), ("few2", "<u4"), ("few3", "<u4")])
+            total, *few = self._find(f"{m}-{{}}-contexts", kinds, kinds, 4)
             spare = sum(d * f for d, f in zip(self.discounts[m], few, strict=True))
             known = total > 0
             back = np.where(known, spare / np.where(known, total, 1), 1.0)[at]
-            (n,) = self._find(m, "key", _joined(backs[m - 1], words), backs[m - 1] % U(self.shards), [("n", "<u4")])
+            (n,) = self._find(f"{m}-{{}}", _joined(backs[m - 1], words), backs[m - 1], 1)
             p = self._discounted(m, n) / np.where(known, total, 1)[at] + back * p
         return raw[of], np.log10(p)
 
@@ -324,9 +382,11 @@ def train(texts: DataFrame, order: int = 3, shard_chars: int = 8 << 20) -> Model
     size = texts.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     shards = max(8, -(-size // shard_chars))
     folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
-    blobs, stats = _count(texts, order, shards), {}
+    blobs, stats, rows = _count(texts, order, shards), {}, None
     for m in range(order, 0, -1):
-        rows = stored(_gather(blobs, m, shards, folder), f"lm-counts-{m}")
+        last, rows = rows, stored(_gather(blobs, m, shards, folder), f"lm-counts-{m}")
+        if last is not None:
+            removed(last)
         sums = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4", "kinds", "total", "raw")]).first()
         stats[m] = [int(x) for x in sums]
         blobs = rows.where("next is not null").select(F.col("next").alias("shard"), "blob")
