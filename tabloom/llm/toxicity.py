@@ -20,6 +20,8 @@ from tabloom.llm.decontaminate import words_of
 
 #: Words of a window, words from one window to the next, cells of each direction, width of an embedding.
 WINDOW, STRIDE, CELLS, WIDTH = 32, 16, 8, 8
+#: Parts of the sample; what a text's words say about the label comes from the other parts.
+FOLDS = 4
 #: Buckets of character n-grams and their lengths in bytes; windows that run at once; words that a worker remembers.
 GRAMS, LENGTHS, BATCH, REMEMBERED = 16_384, (3, 5, 7), 2048, 200_000
 
@@ -204,9 +206,12 @@ class Constant:
         return np.full(len(logit), self.share)
 
 
-def fit(sample: list[tuple[bytes, int]], totals: tuple[int, int] | None = None, steps: int = 300, size: int = 128, rate: float = 0.01, decay: float = 1e-4, unknown: float = 0.5, most_words: int = 8000, seed: int = 0):
+def fit(sample: list[tuple[bytes, int]], totals: tuple[int, int] | None = None, steps: int = 300, size: int = 128, rate: float = 0.01, decay: float = 1e-4, ripe: int = 300, unknown: float = 0.5, most_words: int = 8000, checked: int = 100, seed: int = 0):
     """A network from (text, label) rows. Every fifth row of either label is kept back for the logistic curve; in each
-    step a share `unknown` of the known words is taken as unknown, so that the network learns from characters too.
+    step a share `unknown` of the known words is taken as unknown, so that the network learns from characters too. What
+    words say about the label is counted over other parts of the sample than the text's own, so that the network does
+    not trust what only its own texts have; with fewer than `ripe` toxic texts embeddings learn the slower. Up to
+    `checked` texts of either label and part are scored so for the curve, beside those kept back.
     totals are the rows of either label that the sample stands for: the curve weighs its rows accordingly."""
     numbers: dict[bytes, int] = {}
     texts, labels = [], []
@@ -225,25 +230,44 @@ def fit(sample: list[tuple[bytes, int]], totals: tuple[int, int] | None = None,
     spare, spared = [texts[i] for i in np.flatnonzero(back)], labels[back]
     texts, labels = [texts[i] for i in np.flatnonzero(~back)], labels[~back]
     share = float(labels.mean())
-    seen, gram_seen = np.zeros((2, len(lexicon.words))), np.zeros((2, GRAMS))
-    for t, y in zip(texts, labels, strict=True):
+    fold = np.empty(len(texts), np.int64)
+    for y in (0, 1):
+        own = np.flatnonzero(labels == y)
+        fold[own] = np.arange(len(own)) % FOLDS
+    seen, gram_seen = np.zeros((FOLDS, 2, len(lexicon.words))), np.zeros((FOLDS, 2, GRAMS))
+    for t, y, k in zip(texts, labels, fold, strict=True):
         own = np.unique(t)
-        seen[int(y), own] += 1
-        gram_seen[int(y), np.unique(lexicon.grams(own)[0])] += 1
-    total = seen.sum(0)
+        seen[k, int(y), own] += 1
+        gram_seen[k, int(y), np.unique(lexicon.grams(own)[0])] += 1
+    total = seen.sum((0, 1))
     common = np.flatnonzero(total >= 3)
     common = common[np.argsort(-total[common], kind="stable")][:most_words]
     net, r = Network({lexicon.words[i]: k + 1 for k, i in enumerate(common)}, seed), np.random.default_rng(seed)
-    net.p["word"][1:, 0] = _odds(seen[1, common], seen[0, common], share)  # the first number starts from the labels
-    net.p["gram"][:, 0] = _odds(gram_seen[1], gram_seen[0], share)
+    seen = seen[:, :, common]
+
+    def point(without: int | None) -> None:
+        """Set the first number of each embedding from all folds but one."""
+        for name, counts, at in (("word", seen, 1), ("gram", gram_seen, 0)):
+            own = counts.sum(0) - (0 if without is None else counts[without])
+            net.p[name][at:, 0] = _odds(own[1], own[0], share)
+
     rows = np.zeros(len(lexicon.words), np.int64)
     rows[common] = np.arange(1, len(common) + 1)
-    value = np.add.reduceat(net.p["gram"][lexicon.flat, 0], lexicon.starts) / np.sqrt(lexicon.counts)
-    pointed = [_top_window(value[t]) for t in texts]
-    yes, no = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+    pointed = [0] * len(texts)
+    for k in range(FOLDS):
+        point(k)
+        value = np.add.reduceat(net.p["gram"][lexicon.flat, 0], lexicon.starts) / np.sqrt(lexicon.counts)
+        for i in np.flatnonzero(fold == k):
+            pointed[i] = _top_window(value[texts[i]])
+    of = [[np.flatnonzero((labels == y) & (fold == k)) for y in (1, 0)] for k in range(FOLDS)]
+    of = {k: x for k, x in enumerate(of) if all(map(len, x))}
+    toxic = np.flatnonzero(labels == 1)
     m = {n: np.zeros_like(v) for n, v in net.p.items()}
     v = {n: np.zeros_like(x) for n, x in net.p.items()}
     for step in range(1, steps + 1):
+        k = list(of)[step % len(of)] if of else None
+        point(k)
+        yes, no = of[k] if of else (np.flatnonzero(labels == 1), np.flatnonzero(labels == 0))
         if step == steps // 2:
             pointed = net.worst(texts, lexicon, rows)[1].tolist()
         own = np.r_[r.choice(yes, size // 2), r.choice(no, size // 2)]
@@ -263,11 +287,18 @@ def fit(sample: list[tuple[bytes, int]], totals: tuple[int, int] | None = None,
             g = g + decay * net.p[name]
             m[name] = 0.9 * m[name] + 0.1 * g
             v[name] = 0.99 * v[name] + 0.01 * g * g
-            net.p[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
-    if len(set(spared.tolist())) < 2:
-        spare, spared = texts, labels
-    own = np.array([(spared == y).sum() for y in (0, 1)])
-    net.curve = _curve(net.worst(spare, lexicon, rows)[0], spared, (np.array(totals or own) / own)[spared.astype(int)])
+            pace = rate * (min(1.0, len(toxic) / ripe) if name in ("word", "gram") else 1)
+            net.p[name] -= pace * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
+    logits, seen_by = [], []
+    for k in range(FOLDS):  # what the sample would score by other parts' words, known words taken as unknown
+        point(k)
+        own = np.concatenate([np.flatnonzero((fold == k) & (labels == y))[:checked] for y in (0, 1)])
+        logits.append(net.worst([texts[i] for i in own], lexicon, np.zeros_like(rows))[0])
+        seen_by.append(labels[own])
+    point(None)
+    logits, y = np.concatenate([*logits, net.worst(spare, lexicon, rows)[0]]), np.concatenate([*seen_by, spared])
+    own = np.array([(y == k).sum() for k in (0, 1)])
+    net.curve = _curve(logits, y, (np.array(totals or [(labels == k).sum() + (spared == k).sum() for k in (0, 1)]) / own)[y.astype(int)])
     return net
 
 

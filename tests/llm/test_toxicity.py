@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from tabloom.llm import toxicity as T
@@ -84,3 +86,56 @@ def test_labels(spark):
     assert T.train(docs, none).share == 0.0
     odd = spark.createDataFrame([(None, 1), (3, None), (4, 7), (5, 0), (6, 0)], "doc_id long, toxic int")
     assert T.train(docs, odd).share == 0.0
+
+
+def naive(model, text):
+    """The network over all windows of a text, word by word and cell by cell."""
+    p, c = model.p, T.CELLS
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    words, best = T.words_of(text), -np.inf
+    vector = {}
+    for w in set(words):
+        grams = T._grams_of(w)
+        vector[w] = np.r_[p["word"][model.vocabulary.get(w, 0)], sum(p["gram"][g] for g in grams) / np.sqrt(len(grams))].astype(np.float64)
+    for at in range(0, max(1, len(words) - T.WINDOW + T.STRIDE), T.STRIDE):
+        own, states = [vector[w] for w in words[at : at + T.WINDOW]], []
+        for d, xs in (("f", own), ("b", own[::-1])):
+            h, out = np.zeros(c), []
+            for x in xs:
+                i, g = x @ p[f"w{d}"] + p[f"b{d}"], h @ p[f"u{d}"]
+                z, r = sigmoid(i[:c] + g[:c]), sigmoid(i[c : 2 * c] + g[c : 2 * c])
+                h = z * h + (1 - z) * np.tanh(i[2 * c :] + r * g[2 * c :])
+                out.append(h)
+            states.append(out if d == "f" else out[::-1])
+        if own:
+            h = np.concatenate(states, 1)
+            a = np.exp(h @ p["att"])
+            best = max(best, float((a / a.sum()) @ h @ p["out"] + p["bias"][0]))
+    return best
+
+
+def labelled(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = T.train(docs, labels)
+    rows = T.toxicity(docs, model).join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    return model, rows
+
+
+def test_small_table(spark):
+    """Fitted on a few dozen toxic texts, and against the plain network over all windows."""
+    model, rows = labelled(spark, "sf0.01")
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    for r in sorted(rows, key=lambda r: r["doc_id"])[:60]:
+        assert float(model.probability(np.array([naive(model, (r["text"] or "").encode())]))[0]) == pytest.approx(r["score"], abs=1e-4)
+    held = [r for r in rows if r["held_out"]]
+    right = sum(r["predicted"] == r["toxic"] for r in held)
+    caught = sum(r["predicted"] for r in held if r["toxic"])
+    assert right > sum(1 - r["toxic"] for r in held) and caught >= 5 and sum(r["predicted"] for r in held if not r["toxic"]) <= 2
+
+
+def test_larger_table(spark):
+    _, rows = labelled(spark, "sf0.1")
+    held = [r for r in rows if r["held_out"]]
+    toxic = [r["predicted"] for r in held if r["toxic"]]
+    clean = [r["predicted"] for r in held if not r["toxic"]]
+    assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.02 * len(clean)
