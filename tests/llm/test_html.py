@@ -1,5 +1,8 @@
 import html
+import math
 import re
+import time
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -31,13 +34,13 @@ from tabloom.llm import html_text as H
     ],
 )
 def test_blocks(source, want):
-    assert H.main_text(source, set()) == want
+    assert H.main_text(H.Page(source)) == want
 
 
 @settings(deadline=None, max_examples=150)
 @given(st.text(alphabet="<>/apbdiv&;\"'=! -", max_size=80))
 def test_never_fails(source):
-    H.main_text(source, set())
+    H.main_text(H.Page(source))
 
 
 def site(n):
@@ -54,8 +57,75 @@ def test_style_tree(spark):
     assert got[None, None] == ("", 0) and got[5, "x"] == ("", 0) and got[6, "http://c.org"][0] == "once"
     assert H.extract(df, most_broadcast=0).count() == len(rows)
     assert H.extract(df.limit(0)).collect() == []
-    low = {(r["host"], r["path"]): r["importance"] for r in H.style_tree(df).collect()}
-    assert low["a.org", "div.top"] < 1e-9 < 0.85 < low["a.org", "div.body/p"]
+    shown = {r[0]: r[2] for r in H.extract(df, most_broadcast=0).collect()}
+    assert shown[3] == "Story 3 of 21\n\nMore 3" and shown[100] == "Welcome to us"
+
+
+def plain_tree(pages):
+    """The tree's entropies and importances by counting over all pages."""
+    shows, holds = defaultdict(Counter), defaultdict(Counter)
+    for url, source in pages:
+        nodes, contents = H.Page(source, urls_host(url)).seen()
+        for n, x in nodes:
+            shows[n][x] += 1
+        for n, x in contents:
+            holds[n][x] += 1
+    many = {n: sum(c.values()) for n, c in shows.items() if sum(c.values()) > 1}
+    entropy = {n: (-sum(c / m * math.log(c / m) for c in shows[n].values()) / math.log(m), len(shows[n])) for n, m in many.items()}
+    return entropy, {H.content_key(n, x): 1 - math.log(c) / math.log(m + 1) for n, m in many.items() for x, c in holds[n].items() if c > 1}
+
+
+def urls_host(url):
+    return re.match("[^/?#]*", (url or "").partition("://")[2])[0].lower()
+
+
+def boilerplate(spark, sf):
+    """Pages of the table, each article between its host's own menu, slogan and footer, all in elements that say nothing."""
+    rows = []
+    for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect():
+        host = urls_host(r["url"])
+        inner = re.search("<article>(.*)</article>", r["html"], re.S)[1]
+        menu = "".join(f"<div><a>{host} part {k}</a></div>" for k in range(5))
+        rows.append((r["page_id"], r["url"], f"<div>{menu}</div><div>All about {host}</div><div>{inner}</div><div><div>{host} since 1999</div></div>"))
+    return rows
+
+
+def test_tree_alone_and_against_counting(spark):
+    rows = boilerplate(spark, "sf0.01")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    nodes, contents = H.style_tree(df)
+    entropy, importance = plain_tree([r[1:] for r in rows])
+    got = {r["node"] & H.MASK: (r["entropy"], r["styles"]) for r in nodes.collect()}
+    assert got.keys() == entropy.keys() and all(got[n] == pytest.approx(entropy[n], abs=1e-9) for n in got)
+    got = {r["key"] & H.MASK: r["importance"] for r in contents.collect()}
+    assert got.keys() == importance.keys() and all(got[n] == pytest.approx(importance[n], abs=1e-9) for n in got)
+    hosts = Counter(urls_host(r[1]) for r in rows)
+    table, enough = 0, 0
+    for (i, _), text in {(r["page_id"], r["url"]): r["text"] for r in H.extract(df).collect()}.items():
+        url, source = next(r[1:] for r in rows if r[0] == i)
+        assert text == H.main_text(H.Page(source, urls_host(url)), entropy, importance)
+        if hosts[urls_host(url)] >= 3:
+            table += 1
+            enough += "part" not in text and "about" not in text and "1999" not in text and len(text) > 0
+    assert table > 100 and enough == table
+
+
+def test_an_article_keeps_what_only_its_names_speak_against():
+    text = lambda s: H.main_text(H.Page(s))
+    body = "<p>" + "long text " * 50 + "</p>"
+    for names in ("content no-sidebar", "has-sidebar", "post comments-open", "article-header", "search-results", "comments", "page menu"):
+        assert len(text(f"<div class='{names}'>{body}</div><p>x</p>")) > 400
+    kept = text(f"<article><header><h1>Title</h1></header>{body}<section class='discussion'><p>D</p></section><table class='share-prices'><td>9</td></table><div class='search-and-rescue'>S</div><p>E = <math><mi>m</mi></math></p></article>")
+    assert all(x in kept.split("\n\n") for x in ("Title", "D", "9", "S", "E = m"))
+    assert text(f"<main>{body}<article>Teaser</article></main>").startswith("long text")
+    assert text(f"<form id=all>{body}</form>").startswith("long text")
+
+
+def test_depth_and_length():
+    for source in ("<div>" * 100_000 + "a", "<b>" * 100_000 + "a", "<p>a<div>" * 50_000, "<ul><li>" * 50_000 + "x", "<i></b>" * 50_000 + "t"):
+        start = time.perf_counter()
+        assert H.main_text(H.Page(source))
+        assert time.perf_counter() - start < 3
 
 
 def test_whole_table(spark):
