@@ -20,8 +20,8 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 #: The characters of the models. Every other character ends a run.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
-#: Two places of one transition that lie no further apart are a repetition.
-NEAR = 64
+#: As many different transitions are no repetition, however many there are in all.
+VARIED = 48
 
 #: Parts of ordinary identifiers.
 PARTS = """
@@ -82,16 +82,21 @@ def train(samples: DataFrame, smooth: float = 0.5) -> list[int]:
     return ratios
 
 
-def _located(text: str, pattern: str, group: int = 0) -> str:
-    """SQL for an array of (start, end, text of the group) of all leftmost non-overlapping matches: what lies between
-    them has the lengths that their positions need. Empty without a match, so that most texts cost one search."""
-    p = "r'" + pattern + "'" if "'" not in pattern else "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    between, whole, part = f"split({text}, {p}, -1)", f"regexp_extract_all({text}, {p}, 0)", f"regexp_extract_all({text}, {p}, {group})"
-    none = "array_repeat(named_struct('lo', 0, 'hi', 0, 'g', ''), 0)"
-    parts = f"transform(arrays_zip({whole}, {part}, {between}), z -> named_struct('w', z['0'], 'g', z['1'], 'b', z['2']))"
-    lo, hi = "s.at + length(m.b)", "s.at + length(m.b) + length(m.w)"
-    walk = f"aggregate({parts}, named_struct('at', 0, 'out', {none}), (s, m) -> if(m.w is null, s, named_struct('at', {hi}, 'out', array_append(s.out, named_struct('lo', {lo}, 'hi', {hi}, 'g', m.g)))), s -> s.out)"
-    return f"if({text} rlike {p}, {walk}, {none})"
+#: Matches whose places are added up at a time: appending to an array copies it, so that longer ones would take time that
+#: grows with their square.
+STEP = 128
+
+
+def _quoted(pattern: str) -> str:
+    return "r'" + pattern + "'" if "'" not in pattern else "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _matches(text: str, pattern: str, group: int) -> str:
+    """SQL for an array of (b, w, g): what lies before each leftmost non-overlapping match, the match, its group; at last
+    what lies behind them, with nulls."""
+    p = _quoted(pattern)
+    parts = [f"split({text}, {p}, -1)", f"regexp_extract_all({text}, {p}, 0)", *([f"regexp_extract_all({text}, {p}, {group})"] if group else [])]
+    return f"transform(arrays_zip({', '.join(parts)}), z -> named_struct('b', z['0'], 'w', z['1'], 'g', z['{2 if group else 1}']))"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -99,12 +104,21 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _left(run: str, spans: str, least: int) -> str:
-    """SQL for an array of (lo, hi, g): the stretches of at least `least` characters of the run outside of the spans."""
-    piece = lambda hi: f"if({hi} - s.at >= {least}, array_append(s.out, named_struct('lo', s.at, 'hi', {hi}, 'g', substr({run}.g, s.at - {run}.lo + 1, {hi} - s.at))), s.out)"
-    inside = f"array_sort(filter({spans}, y -> y.start < {run}.hi and {run}.lo < y.end))"
+def _located(text: str, pattern: str, group: int = 0) -> str:
+    """SQL for an array of (lo, hi, g) of all leftmost non-overlapping matches: what lies between them has the lengths
+    that their positions need. Empty without a match, so that most texts cost one search."""
     none = "array_repeat(named_struct('lo', 0, 'hi', 0, 'g', ''), 0)"
-    return f"aggregate({inside}, named_struct('at', {run}.lo, 'out', {none}), (s, y) -> named_struct('at', greatest(s.at, y.end), 'out', {piece('y.start')}), s -> {piece(f'{run}.hi')})"
+    hi = "s.at + length(m.b) + length(m.w)"
+    one = f"(s, m) -> if(m.w is null, s, named_struct('at', {hi}, 'out', array_append(s.out, named_struct('lo', s.at + length(m.b), 'hi', {hi}, 'g', m.g))))"
+    some = f"aggregate(slice(o, c, {STEP}), named_struct('at', y.at, 'out', {none}), {one})"
+    walk = f"aggregate(sequence(1, size(o), {STEP}), named_struct('at', 0, 'out', array_repeat({none}, 0)), (y, c) -> {_let(some, 'r', 'named_struct(' + repr('at') + ', r.at, ' + repr('out') + ', array_append(y.out, r.out))')}, y -> flatten(y.out))"
+    return f"if({text} rlike {_quoted(pattern)}, {_let(_matches(text, pattern, group), 'o', walk)}, {none})"
+
+
+def _blanked(text: str, pattern: str, least: int = 0, group: int = 0) -> str:
+    """SQL for the text with blanks for all matches whose group has at least so many characters."""
+    parts = f"transform({_matches(text, pattern, group)}, m -> concat(m.b, if(m.w is null, '', if(length(m.g) >= {least}, repeat(' ', length(m.w)), m.w))))"
+    return f"if({text} rlike {_quoted(pattern)}, array_join({parts}, ''), {text})"
 
 
 def _random(run: str, ratios: list[int], least: int, threshold: int) -> str:
@@ -113,47 +127,58 @@ def _random(run: str, ratios: list[int], least: int, threshold: int) -> str:
     table = "array(" + ",".join(map(str, ratios)) + ")"
     place = f"(locate(a, '{ALPHABET}') - 1) * {size} + locate(b, '{ALPHABET}') - 1"
     steps = f"filter(zip_with(c, slice(c, 2, size(c)), (a, b) -> if(b is null, -1, {place})), p -> p >= 0)"
-    llr = f"aggregate(array_distinct(t), 0, (s, p) -> s + w[p])"
-    body = f"if({llr} >= {threshold}, array(named_struct('lo', {run}.lo, 'hi', {run}.hi)), {_parts(run, 'w', least, threshold)})"
+    llr = "aggregate(t, cast(0 as bigint), (s, p) -> s + w[p])"
+    body = f"if({llr} >= {threshold} and {_varied('t')}, array(named_struct('lo', {run}.lo, 'hi', {run}.hi)), {_parts(run, 'w', least, threshold)})"
     return _let(table, "w", _let(f"split({run}.g, '')", "c", _let(steps, "t", body)))
 
 
+def _varied(steps: str) -> str:
+    """SQL for whether at least half of the transitions, or VARIED of them, are different ones: else they repeat."""
+    return f"size(array_distinct({steps})) >= least(size({steps}) div 2, {VARIED})"
+
+
 def _parts(run: str, table: str, least: int, threshold: int) -> str:
-    """SQL for an array of (lo, hi): the stretches of the run with the transitions t whose sum is a running maximum of at
-    least threshold. A stretch ends where the sum falls to zero or by threshold; a transition that also stands at most
-    NEAR before counts as zero. What is found is widened to whole letters and digits."""
-    sorted_ = "array_sort(transform(t, (p, i) -> named_struct('p', p, 'i', i)))"
-    value = f"if(a.p = b.p and a.i - b.i <= {NEAR}, 0, {table}[a.p])"
-    fresh = _let(sorted_, "o", f"array_sort(filter(zip_with(o, concat(array(named_struct('p', -1, 'i', 0)), o), (a, b) -> named_struct('i', a.i, 'v', {value})), z -> z.i is not null))")
+    """SQL for an array of (lo, hi): the stretches of the run with the transitions t whose log-likelihood ratio is a
+    running maximum of at least threshold. A stretch ends where the sum falls to zero, or by threshold below its maximum.
+    What is found is widened to whole letters and digits."""
     none = "array_repeat(named_struct('lo', 0, 'hi', 0), 0)"
     out = f"if(s.best >= {threshold}, array_append(s.out, named_struct('lo', s.lo, 'hi', s.hi)), s.out)"
     zero = "cast(0 as bigint)"
-    over = f"s.sum + z.v <= 0 or s.sum + z.v <= s.best - {threshold}"
-    step = f"if({over}, named_struct('sum', {zero}, 'lo', z.i + 1, 'best', {zero}, 'hi', 0, 'out', {out}), named_struct('sum', s.sum + z.v, 'lo', s.lo, 'best', greatest(s.best, s.sum + z.v), 'hi', if(s.sum + z.v > s.best, z.i + 2, s.hi), 'out', s.out))"
-    found = f"aggregate({fresh}, named_struct('sum', {zero}, 'lo', 0, 'best', {zero}, 'hi', 0, 'out', {none}), (s, z) -> {step}, s -> {out})"
+    now = f"s.sum + {table}[p]"
+    over = f"{now} <= 0 or {now} <= s.best - {threshold}"
+    step = f"if({over}, named_struct('i', s.i + 1, 'sum', {zero}, 'lo', s.i + 1, 'best', {zero}, 'hi', 0, 'out', {out}), named_struct('i', s.i + 1, 'sum', {now}, 'lo', s.lo, 'best', greatest(s.best, {now}), 'hi', if({now} > s.best, s.i + 2, s.hi), 'out', s.out))"
+    found = f"aggregate(t, named_struct('i', 0, 'sum', {zero}, 'lo', 0, 'best', {zero}, 'hi', 0, 'out', {none}), (s, p) -> {step}, s -> {out})"
+    varied = f"filter({found}, y -> {_varied('slice(t, y.lo + 1, y.hi - y.lo - 1)')})"
     lo = f"{run}.lo + y.lo + 1 - length(regexp_extract(reverse(substr({run}.g, 1, y.lo + 1)), '^[A-Za-z0-9]*', 0))"
     hi = f"{run}.lo + y.hi - 1 + length(regexp_extract(substr({run}.g, y.hi), '^[A-Za-z0-9]*={{0,2}}', 0))"
-    return f"array_distinct(filter(transform({found}, y -> named_struct('lo', {lo}, 'hi', {hi})), y -> y.hi - y.lo >= {least}))"
-
-
-def scan(docs: DataFrame, ratios: list[int], least_run: int = 20, threshold: int = 15_000) -> DataFrame:
-    """docs' columns and secrets: an array of (start, kind, end) by start, then kind (an index of KINDS); code points,
-    end exclusive. A null or empty text has none; null ids and repeated rows stay as they are.
-
-    assign, access and hex are the fixed patterns. markov: of what these leave of the runs of characters of the alphabet,
-    each stretch of at least least_run characters whose log-likelihood ratio is at least threshold milli-nats, each
-    transition counted once (what repeats is not random); of other stretches the parts that _parts finds."""
-    own = "secret_scan_text"
+    return f"array_distinct(filter(transform({varied}, y -> named_struct('lo', {lo}, 'hi', {hi})), y -> y.hi - y.lo >= {least}))"
+
+
+def scan(docs: DataFrame, ratios: list[int], least_run: int = 20, threshold: int = 15_000, into: str = "secrets") -> DataFrame:
+    """docs' columns and, last, `into`: an array of (start, kind, end) by start, then kind (an index of KINDS); code
+    points, end exclusive. A column of docs that has that name is an error, so that none is lost: name another.
+
+    assign, access and hex are the fixed patterns. markov: of what is left when their matches are blanked out, of each run
+    of at least least_run characters of the alphabet, the whole where its log-likelihood ratio is at least threshold
+    milli-nats, else the parts where it is; what repeats a few transitions is not random. A null or empty text has no
+    spans; null ids and repeated rows stay as they are; an empty table gives an empty one. Time grows with the length of
+    a text, whatever the number of its spans."""
+    if into in docs.columns:
+        raise ValueError(f"docs have a column {into}")
+    own, blank = f"{into}_scan_text", f"{into}_scan_blanked"
+    while {own, blank} & set(docs.columns):
+        own, blank = own + "_", blank + "_"
     kind = lambda k, spans: F.expr(f"transform({spans}, x -> named_struct('start', x.lo, 'kind', {k}, 'end', x.hi))")
     base = F.concat(
         kind(0, f"filter({_located(own, ASSIGN, 2)}, x -> length(x.g) >= {LEAST_VALUE})"),
         kind(1, f"filter({_located(own, ACCESS)}, x -> length(x.g) >= {LEAST_ACCESS})"),
         kind(2, _located(own, HEX)),
     )
-    free = _left("x", "secret_scan_base", least_run)
-    runs = f"flatten(transform({_located(own, '[A-Za-z0-9+/_=-]{%d,}' % least_run)}, x -> flatten(transform({free}, r -> {_random('r', ratios, least_run, threshold)}))))"
-    named = docs.withColumn(own, F.coalesce(F.col("text"), F.lit(""))).withColumn("secret_scan_base", base)
-    return named.withColumn("secrets", F.array_sort(F.concat("secret_scan_base", kind(3, runs)))).drop(own, "secret_scan_base")
+    runs = f"flatten(transform({_located(blank, '[A-Za-z0-9+/_=-]{%d,}' % least_run)}, r -> {_random('r', ratios, least_run, threshold)}))"
+    named = docs.withColumn(own, F.coalesce(F.col("text"), F.lit("")))
+    for pattern, least, group in ((ASSIGN, LEAST_VALUE, 2), (ACCESS, LEAST_ACCESS, 0), (HEX, 0, 0)):
+        named = named.withColumn(blank, F.expr(_blanked(own if blank not in named.columns else blank, pattern, least, group)))
+    return named.withColumn(into, F.array_sort(F.concat(base, kind(3, runs)))).drop(own, blank)
 
 
 def _listed(spans: Column) -> Column:
@@ -161,23 +186,23 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def report(scanned: DataFrame) -> DataFrame:
+def report(scanned: DataFrame, column: str = "secrets") -> DataFrame:
     """The contract's columns."""
-    n = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    base = F.filter("secrets", lambda s: s["kind"] < 3)
-    return scanned.select(F.col("doc_id").cast("long").alias("doc_id"), n(0), n(1), n(2), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("secrets")).alias("spans"))
+    n = lambda k: F.size(F.filter(column, lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    base = F.filter(column, lambda s: s["kind"] < 3)
+    return scanned.select(F.col("doc_id").cast("long").alias("doc_id"), n(0), n(1), n(2), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col(column)).alias("spans"))
 
 
-def redact(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(scanned: DataFrame, mark: str = "[SECRET]", column: str = "secrets") -> DataFrame:
     """Each stretch of touching or overlapping spans of the text becomes one mark; a text without secrets stays as it
-    is, null too. The column secrets goes."""
-    built = F.aggregate(
-        "secrets",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= s["at"], F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1)),
-    )
-    return scanned.withColumn("text", F.when(F.size("secrets") > 0, built).otherwise(F.col("text"))).drop("secrets")
+    is, null too. All columns stay."""
+    none = "array_repeat(named_struct('lo', 0, 'hi', 0), 0)"
+    one = "(s, x) -> named_struct('at', greatest(s.at, x.end), 'out', if(x.start > s.at, array_append(s.out, named_struct('lo', greatest(s.at, 0), 'hi', x.start)), s.out))"
+    some = f"aggregate(slice(`{column}`, c, {STEP}), named_struct('at', y.at, 'out', {none}), {one})"
+    step = _let(some, "r", "named_struct('at', r.at, 'out', array_append(y.out, r.out))")
+    gaps = f"aggregate(sequence(1, size(`{column}`), {STEP}), named_struct('at', -1, 'out', array_repeat({none}, 0)), (y, c) -> {step}, y -> array_append(flatten(y.out), named_struct('lo', y.at, 'hi', length(text))))"
+    # bytes are reached at once, characters of other texts by walking to them
+    join = lambda part: f"array_join(transform({gaps}, z -> {part}), '{mark}')"
+    bytes_ = _let("cast(text as binary)", "v", join("cast(substr(v, z.lo + 1, z.hi - z.lo) as string)"))
+    built = F.expr(f"if(length(text) = octet_length(text), {bytes_}, {join('substr(text, z.lo + 1, z.hi - z.lo)')})")
+    return scanned.withColumn("text", F.when(F.size(column) > 0, built).otherwise(F.col("text")))
