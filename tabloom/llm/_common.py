@@ -50,20 +50,22 @@ def removed(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def joined(large: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", parts: int = 512) -> DataFrame:
+def joined(large: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, parts: int = 512) -> DataFrame:
     """large joined with unique, which has one row at most for each of the keys (named alike in both, not null).
 
     Keys that hold more than a `parts`th of large's rows are `parts` at most, whatever the size: their rows of unique are
     broadcast, and large's rows with them stay where they are. All other keys are shuffled, and none of them makes a
-    task much larger than others."""
-    counts = large.groupBy(*keys).agg(F.count("*").alias("joined_n"))
-    total = large.count()
-    hot = stored(counts.where(F.col("joined_n") > max(100, total // parts)).select(*keys), "joined-hot")
-    if not hot.head(1):
+    task much larger than others. counts: keys and joined_n, how many rows of large have them, where that is known."""
+    if counts is None:
+        counts = large.groupBy(*keys).agg(F.count("*").alias("joined_n"))
+    total = counts.agg(F.coalesce(F.sum("joined_n"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("joined_n") > max(100, total // parts)).select(*keys)
+    rows = hot.collect()  # `parts` rows at most
+    if not rows:
         return large.join(unique, keys, how)
-    hot_unique = F.broadcast(unique.join(F.broadcast(hot), keys, "left_semi"))
-    marked = F.broadcast(hot)
-    return large.join(marked, keys, "left_semi").join(hot_unique, keys, how).unionByName(large.join(marked, keys, "left_anti").join(unique, keys, how))
+    hot = F.broadcast(large.sparkSession.createDataFrame(rows, hot.schema))
+    near = large.join(hot, keys, "left_semi").join(F.broadcast(unique.join(hot, keys, "left_semi")), keys, how)
+    return near.unionByName(large.join(hot, keys, "left_anti").join(unique, keys, how))
 
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.llm._common import stored
+from tabloom.llm._common import joined, stored
 
 
-def _with_min(directed: DataFrame) -> DataFrame:
+def _with_min(directed: DataFrame, name: str) -> DataFrame:
     """(u, v, m): each edge with the smallest node among u and its neighbours. The minimum is aggregated map-side first
-    and joined back, so that a hub's neighbours never meet in one task."""
-    low = directed.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return directed.join(low, "u")
+    and joined back: that of a hub, which holds many of the edges, by broadcast, so that its neighbours stay apart."""
+    low = stored(directed.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("joined_n")), name)
+    return joined(directed, low.select("u", F.least("u", "m").alias("m")), ["u"], counts=low.select("u", "joined_n"))
 
 
 def components(edges: DataFrame, name: str, rounds: int = 50) -> DataFrame:
@@ -27,9 +27,9 @@ def components(edges: DataFrame, name: str, rounds: int = 50) -> DataFrame:
             break
         before = state
         both = now.unionByName(flipped(now))
-        large = _with_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        own = _with_min(large)  # here u > v always: v are all the smaller neighbours
+        large = _with_min(both, f"{name}-least").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.where("u <> v").distinct(), f"{name}-large")
+        own = _with_min(large, f"{name}-least")  # here u > v always: v are all the smaller neighbours
         small = own.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own.select("u", F.col("m").alias("v")))
         now = stored(small.where("u <> v").distinct(), name)
     else:

@@ -5,8 +5,9 @@ into shards by keys that near fingerprints share; each shard of bounded size get
 it, and only edges within the radius are followed.
 
 * ``link_fingerprints``: exact for a small radius r. The 64 bits are cut into r + 1 blocks; two fingerprints at most r
-  apart agree in one block whole. Blocks of fingerprints with more than ``hot`` members are linked by a second exact
-  way: two fingerprints are at most 2 apart if and only if they share one of the 65 values at most 1 away.
+  apart agree in one block whole. A block of bits that more than ``hot`` fingerprints share is split: the other bits are
+  cut into r + 1 blocks again, of which two near fingerprints agree in one, until groups are small. Links come from trees
+  alone.
 * ``near_groups``: for texts of a given shingle similarity, whose fingerprints may lie any number of bits apart. No
   fingerprint decides: every pair that shares a band of minimum hashes is verified on the exact sets of shingles.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.llm._common import small, stored
+from tabloom.llm._common import joined, small, stored
 from tabloom.llm.bktree import BKTree, Forest
 from tabloom.llm.components import components
 
@@ -92,25 +93,31 @@ def _edges_by_shard(shards: DataFrame, radius: int) -> DataFrame:
 def link_fingerprints(fps: DataFrame, radius: int = 2, shard_rows: int = 8192, hot: int = 2048) -> DataFrame:
     """(node, root) of all linked fingerprints; root is the smallest signed fingerprint of its component.
 
-    fps: a column fp of distinct longs. Every link at most radius bits long counts. radius is 0, 1 or 2."""
+    fps: a column fp of distinct longs. Every link at most radius bits long counts. radius is 0, 1 or 2. Groups of over
+    hot fingerprints are split by blocks of the bits that they needn't share yet; at last 13 such bits are left, or
+    fewer, and with them 8,192 fingerprints at most."""
     if not 0 <= radius <= 2:
         raise ValueError("link_fingerprints is exact for a radius of at most 2")
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    dealt = fps.select("fp", F.inline(blocks))
-    sizes = dealt.groupBy("block", "bits").agg(F.count("*").alias("size")).where("size > 1")
-    dealt = stored(dealt.join(sizes, ["block", "bits"]), "simhash-blocks")
-    cold = dealt.where(F.col("size") <= hot)
-    shards = max(1, -(-cold.count() // shard_rows))
-    edges = _edges_by_shard(cold.select(F.pmod(F.xxhash64("block", "bits"), F.lit(shards)).alias("shard"), "fp"), radius)
-    crowded = dealt.where(F.col("size") > hot).select("fp").distinct()
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63))) for i in range(64)] if radius else [])
-    around = crowded.select("fp", F.explode(flips).alias("z"))
-    if radius < 2:  # the values themselves are at most radius apart from what they link
-        around = around.join(crowded.select(F.col("fp").alias("z")), "z", "left_semi")
-    low = around.groupBy("z").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("z", "v")
-    middle = around.join(low, "z").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
-    return components(edges.unionByName(middle), "simhash-links")
+    parts, edges = radius + 1, None
+    paths: list[tuple[list[int], list[int]]] = [([], list(range(64)))]  # bits that a group shares, and the others
+    rows = fps.select("fp", F.lit(0).alias("path"))
+    while True:
+        cut = lambda rest, j: rest[len(rest) * j // parts : len(rest) * (j + 1) // parts]
+        paths = [(shared + cut(rest, j), [b for b in rest if b not in cut(rest, j)]) for shared, rest in paths for j in range(parts)]
+        last = max(len(rest) for _, rest in paths) <= 13
+        masks = [sum(1 << b for b in shared) for shared, _ in paths]
+        mask = F.array(*[F.lit(m - (1 << 64) * (m >> 63)).cast("long") for m in masks])
+        dealt = rows.select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda j: F.col("path") * parts + j)).alias("path"))
+        dealt = dealt.select("fp", "path", F.col("fp").bitwiseAND(F.element_at(mask, F.col("path") + 1)).alias("bits"))
+        sizes = stored(dealt.groupBy("path", "bits").agg(F.count("*").alias("size")).where("size > 1"), "simhash-sizes")
+        dealt = stored(joined(dealt, sizes, ["path", "bits"], counts=sizes.withColumnRenamed("size", "joined_n")), "simhash-blocks")
+        cold = dealt if last else dealt.where(F.col("size") <= hot)
+        shards = max(1, -(-cold.count() // shard_rows))
+        found = _edges_by_shard(cold.select(F.pmod(F.xxhash64("path", "bits"), F.lit(shards)).alias("shard"), "fp"), radius)
+        edges = found if edges is None else edges.unionByName(found)
+        rows = dealt.where(F.col("size") > hot).select("fp", "path")
+        if last or not rows.head(1):
+            return components(edges, "simhash-links")
 
 
 def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
@@ -121,12 +128,12 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2) -> DataF
     component_id is the smallest doc_id there is in its component, null if there is none. Repeated rows stay; an empty
     table gives an empty one; other columns are not read."""
     own = stored(fingerprints(docs, size), "simhash-fingerprints")
-    nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("joined_n")), "simhash-nodes")
     links = link_fingerprints(nodes.select("fp"), radius)
-    rooted = nodes.join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(named, "root").select("fp", "component_id")
-    return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = stored(nodes.join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = joined(rooted, named, ["root"]).select("fp", "component_id")
+    return joined(own, of, ["fp"], counts=nodes.select("fp", "joined_n")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # Near-duplicates by shingle similarity.
@@ -185,6 +192,10 @@ def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
+def _edge_table(us: list[int], vs: list[int]) -> pa.Table:
+    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+
 def _verified(dealt: DataFrame, size: int, similarity: float) -> DataFrame:
     """(u, v) from (part, p, q, block, node, bands, text): pairs of block p with block q, or within one, that share a
     band and have the similarity; those that other pairs link already are left out."""
@@ -203,52 +214,90 @@ def _verified(dealt: DataFrame, size: int, similarity: float) -> DataFrame:
                     forest.join(x, y)
                     us.append(node[x])
                     vs.append(node[y])
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+        return _edge_table(us, vs)
 
     return dealt.groupBy("part", "p", "q").applyInArrow(run, "u long, v long")
 
 
+def _stars(dealt: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(u, v) from (low, block, node, text): the nodes of each block that have the similarity to the node low, v, which
+    lies in every block of its set."""
+
+    def run(table: pa.Table) -> pa.Table:
+        low, us = table.column("low")[0].as_py(), []
+        nodes, texts = table.column("node").to_pylist(), table.column("text")
+        if low in nodes:
+            first = np.unique(shingle_hashes(texts[nodes.index(low)].as_py(), size))
+            us = [n for i, n in enumerate(nodes) if n != low and _similar(first, np.unique(shingle_hashes(texts[i].as_py(), size)), similarity)]
+        return _edge_table(us, [low] * len(us))
+
+    return dealt.groupBy("low", "block").applyInArrow(run, "u long, v long")
+
+
 def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, shard_rows: int = 1024, block_rows: int = 1024) -> DataFrame:
     """(doc_id, raw, group_id), raw being xxhash64 of the text: the smallest doc_id of the texts linked by a Jaccard similarity of at least `similarity` of
     their sets of shingles. Each text that has words gets a row.
 
     Exact copies (equal words) are one node. Nodes that share a band of minimum hashes meet under the least node of the
-    band, and every two of them are verified on whole texts. Nodes under one least node are a set; sets of up to
-    block_rows nodes are dealt into shards of about shard_rows nodes, larger ones are worked on in pairs of blocks, so
-    that a set of any size needs no more memory than two blocks. Only a spanning forest of the links goes on. Rows
-    without doc_id have groups too; a group without any id has none."""
+    band, and every two of them are verified on whole texts. Nodes under one least node are a set. Sets of up to
+    block_rows nodes are dealt into shards of about shard_rows nodes. A larger set is cut into blocks, in each of which
+    all nodes are first held against the least one; two nodes that it links need no more, so that only blocks of the
+    others are paired, with all blocks. A set of any size needs no more memory than two blocks, and one whose nodes are
+    near copies of one text moves each text twice. Only a spanning forest of the links goes on. Rows without doc_id have
+    groups too; a group without any id has none."""
     own = stored(_sketches(docs, size, bands, rows), "near-sketches")
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands"))
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands"), F.count("*").alias("joined_n"))
     nodes = stored(nodes, "near-nodes")
     keys = nodes.select("node", F.explode("bands").alias("band"))
-    lows = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1").select("band", "low")
-    members = stored(keys.join(lows, "band").select("low", "node").distinct(), "near-members")
+    lows = stored(keys.groupBy("band").agg(F.count("*").alias("joined_n"), F.min("node").alias("low")).where("joined_n > 1"), "near-lows")
+    members = stored(joined(keys, lows.select("band", "low"), ["band"], counts=lows.select("band", "joined_n")).select("low", "node").distinct(), "near-members")
     counts = stored(members.groupBy("low").agg(F.count("*").alias("members")), "near-counts")
     few = counts.where(F.col("members") <= block_rows).agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("low"), F.lit(max(1, -(-few // shard_rows))))
-    members = members.join(small(counts), "low")
-    blocks = F.ceil(F.col("members") / block_rows).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
-    large = members.where(F.col("members") > block_rows).withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-    large = large.select(F.struct(F.lit(True).alias("large"), F.col("low").alias("of")).alias("part"), "node", "block", F.inline(pairs))
-    cold = members.where(F.col("members") <= block_rows).select(F.struct(F.lit(False).alias("large"), shard.alias("of")).alias("part"), "node").distinct()
-    cold = cold.select("part", "node", *[F.lit(0).alias(c) for c in ("block", "p", "q")])
+    members = stored(joined(members, counts, ["low"], counts=counts.withColumnRenamed("members", "joined_n")), "near-sets")
     id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id")
-    first = own.select(id_of, "raw", "node").join(small(members.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "raw")).alias("x")).select("node", "x.*")
+    first = own.select(id_of, "raw", "node").groupBy("node").agg(F.min(F.struct("id", "raw")).alias("x"))
+    first = first.join(members.select("node").distinct(), "node", "left_semi").select("node", "x.*")
     texts = docs.select(id_of, F.xxhash64("text").alias("raw"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(small(stored(first, "near-first")), ["id", "raw"]).dropDuplicates(["node"])
-    texts = texts.select("node", "text").join(nodes.select("node", "bands"), "node")
-    exact = components(_verified(cold.unionByName(large).join(texts, "node"), size, similarity), "near-exact")
-    rooted = nodes.join(exact, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    texts = texts.join(small(stored(first, "near-first")), ["id", "raw"]).dropDuplicates(["node"]).select("node", "text")
+    cold = members.where(F.col("members") <= block_rows).select(F.struct(F.lit(False).alias("large"), shard.alias("of")).alias("part"), "node").distinct()
+    dealt = cold.select("part", "node", *[F.lit(0).alias(c) for c in ("block", "p", "q")])
+    edges = None
+    if counts.where(F.col("members") > block_rows).head(1):
+        texts = stored(texts, "near-texts")
+        large = members.where(F.col("members") > block_rows)
+        number = F.ceil(F.col("members") / block_rows).cast("int")
+        block = F.pmod(F.hash("node"), number)
+        each = large.where("node <> low").select("low", "node", block.alias("block"))
+        least = counts.where(F.col("members") > block_rows).select("low", F.col("low").alias("node"), F.explode(F.sequence(F.lit(0), number - 1)).alias("block"))
+        edges = stored(_stars(each.unionByName(least).join(texts, "node"), size, similarity), "near-stars")
+        linked = edges.select(F.col("u").alias("node"), F.col("v").alias("low"), F.lit(True).alias("linked"))
+        large = large.select("low", "node").join(linked, ["low", "node"], "left").select("low", "node", (F.coalesce("linked", F.lit(False)) | (F.col("low") == F.col("node"))).alias("linked"))
+        sums = stored(large.groupBy("low").agg(F.count("*").alias("joined_n"), F.ceil(F.count_if("linked") / block_rows).cast("int").alias("a"), F.ceil(F.count_if(~F.col("linked")) / block_rows).cast("int").alias("b")), "near-blocks")
+        large = joined(stored(large, "near-large"), sums.select("low", "a", "b").where("b > 0"), ["low"], counts=sums.select("low", "joined_n"))
+        large = large.withColumn("block", F.when(F.col("linked"), F.pmod(F.hash("node"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.hash("node"), F.col("b"))))
+        others = F.sequence(F.when(F.col("linked"), F.col("a")).otherwise(F.lit(0)), F.col("a") + F.col("b") - 1)
+        pairs = F.transform(others, lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
+        dealt = dealt.unionByName(large.select(F.struct(F.lit(True).alias("large"), F.col("low").alias("of")).alias("part"), "node", "block", F.inline(pairs)))
+    found = _verified(dealt.join(texts.join(nodes.select("node", "bands"), "node"), "node"), size, similarity)
+    exact = components(found if edges is None else found.unionByName(edges), "near-exact")
+    rooted = stored(nodes.join(exact, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "near-rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("group_id"))
-    of = rooted.join(named, "root").select("node", "group_id")
-    return own.select("doc_id", "raw", "node").join(of, "node").select("doc_id", "raw", "group_id")
+    of = joined(rooted, named, ["root"]).select("node", "group_id")
+    return joined(own.select("doc_id", "raw", "node"), of, ["node"], counts=nodes.select("node", "joined_n")).select("doc_id", "raw", "group_id")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs without the rows whose text has a near-duplicate of smaller doc_id, linked by any number of steps (see
-    near_groups). Texts without words stay, and so do rows without a doc_id where their whole group has none."""
-    groups = near_groups(docs, **how)
-    lost = groups.where("group_id is not null and not (doc_id <=> group_id)").select(F.col("doc_id").alias("near_id"), F.col("raw").alias("near_raw")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("near_id")) & (F.xxhash64(docs["text"]) == F.col("near_raw"))
-    return docs.join(small(stored(lost, "near-lost")), same, "left_anti")
+    near_groups); of several rows of one doc_id with equal texts one stays. Texts without words stay, and so do rows
+    without a doc_id where their whole group has none. Other columns are carried along, whatever their names."""
+    groups = stored(near_groups(docs, **how), "near-groups")
+    lost = small(stored(groups.where("group_id is not null and not (doc_id <=> group_id)").select("doc_id", "raw").distinct(), "near-lost")).alias("near_lost")
+    own = docs.alias("near_docs")
+    same = lambda t: F.col("near_docs.doc_id").cast("long").eqNullSafe(F.col(f"{t}.doc_id")) & (F.xxhash64(F.col("near_docs.text")) == F.col(f"{t}.raw"))
+    left = own.join(lost, same("near_lost"), "left_anti")
+    twice = stored(groups.where("doc_id is not null").groupBy("doc_id", "raw").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "raw"), "near-twice")
+    if not twice.head(1):
+        return left
+    twice, left = small(twice).alias("near_twice"), left.alias("near_docs")
+    return left.join(twice, same("near_twice"), "left_anti").unionByName(left.join(twice, same("near_twice"), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -37,11 +37,12 @@ def test_decontamination(spark, docs):
 def test_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda docs, labels: toxicity.Constant(0.0))
     rows = [(1, None, None, None, None), (None, "a b c", "en", "s", 5), (2, "", "en", "s", 0), (3, "token = abcdefgh", "en", "s", 16), (3, "token = abcdefgh", "en", "s", 16), (4, "Token =  ABCDEFGH", None, "s", 17)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "7 node", "8 secrets_x", "9 row")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "7 node", "8 secrets", "9 row", "1 near_id", "2 near_raw", "3 secret_sizes", "4 secret_spans", "5 id", "6 y")
     for name, stage in P.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).count() == 0
         docs = stage(spark, docs, SF)
         assert docs.columns[:5] == COLUMNS, name
     got = {(r.doc_id, r.text, r.n_chars) for r in docs.collect()}
     assert got == {(1, None, None), (None, "a b c", 5), (2, "", 0), (3, "[SECRET]", 8)}
-    assert P.STAGES[-1][1](spark, docs, SF).count() == 5
+    last = P.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(len(r.doc_ids) for r in last) == 4 and any("a b c\x1e" in r.text for r in last)
