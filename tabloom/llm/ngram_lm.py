@@ -1,6 +1,6 @@
 """An interpolated modified Kneser-Ney n-gram model (Chen and Goodman, 1999), counted in Spark.
 
-Words are 64-bit hashes, n-grams pairs of a context's hash and a word's. Counting tasks sum what they read and deal the
+Words are 48-bit hashes, n-grams pairs of a context's hash and a word's. Counting tasks sum what they read and deal the
 sums out by context; the tasks that gather a range of contexts write its n-grams as sorted arrays of hashes and counts
 to the shared folder and pass continuation counts on to the next lower order. Workers that score texts map those files
 into memory and look n-grams up by binary search. No task and no file holds more than its range; nothing but counts of
@@ -23,9 +23,11 @@ from tabloom.llm._common import removed, shared_dir, stored
 U = np.uint64
 MIX, TURN = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 #: Hashes of the end of a text and of what stands before its first word.
-END, BEGIN = U(0x1B873593CC9E2D51), U(0x85EBCA77C2B2AE63)
+END, BEGIN = U(0x3593CC9E2D51), U(0xCA77C2B2AE63)
+#: Bits of a word's hash: of a thousand million words a few thousand share theirs with another.
+KEPT = U((1 << 48) - 1)
 #: Tokens that a task counts or scores at a time; ranges of the model that a worker keeps open.
-COUNTED, SCORED, MAPS = 3 << 19, 1 << 18, 4096
+COUNTED, SCORED, MAPS = 3 << 20, 1 << 18, 4096
 
 
 @lru_cache(None)
@@ -61,7 +63,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(len(data)) - np.repeat(start, np.diff(np.r_[start, len(data)])) if not start[0] else np.arange(len(data)) - np.repeat(np.r_[0, start], np.diff(np.r_[0, start, len(data)]))
         with np.errstate(over="ignore"):
             power = np.multiply.accumulate(np.full(int(at.max()) + 1, MIX))
-            words = _mixed(np.add.reduceat(value[data] * power[at], start))
+            words = _mixed(np.add.reduceat(value[data] * power[at], start)) & KEPT
     else:
         words = np.empty(0, U)
     per = np.searchsorted(start, offsets[1:]) - np.searchsorted(start, offsets[:-1])
@@ -298,7 +300,7 @@ def _gather(blobs: DataFrame, order: int, shards: int, folder: str) -> DataFrame
         words = [kinds[x] for x in ids]
         context = _context(words)
         shard = table.column("shard")[0].as_py()
-        starts, low, by = _indexed(_joined(context, words[-1]) if order > 1 else words[0])
+        starts, low, by = _indexed(_joined(context, words[-1]))
         _save(folder, f"{order}-{shard}", [starts, low, *_coded([n[by]]), raw[by] if order == 1 else raw[:0]])
         if order > 1:
             new = np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in ids[:-1]])])
@@ -360,7 +362,7 @@ class Model:
     def score(self, words: np.ndarray, backs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Of each token: its count in training, and log10 of its probability."""
         kinds, of = np.unique(words, return_inverse=True)
-        n, raw = self._find("1-{}", kinds, kinds, 2, 1)
+        n, raw = self._find("1-{}", _joined(np.zeros(len(kinds), U), kinds), kinds, 2, 1)
         p = ((self._discounted(1, n) / self.total if self.total else np.zeros(len(n))) + self.rest / (self.vocabulary + 1))[of]
         for m in range(2, self.order + 1):
             kinds, at = np.unique(backs[m - 1], return_inverse=True)
@@ -373,7 +375,7 @@ class Model:
         return raw[of], np.log10(p)
 
 
-def train(texts: DataFrame, order: int = 3, shard_chars: int = 8 << 20) -> Model:
+def train(texts: DataFrame, order: int = 3, shard_chars: int = 16 << 20) -> Model:
     """The model of all rows of texts (a binary column). The ranges are as many as the corpus needs at shard_chars
     bytes each, so that a task's memory doesn't grow with it."""
     spark = texts.sparkSession
