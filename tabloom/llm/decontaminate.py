@@ -9,11 +9,13 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from tabloom.llm._common import joined, stored
 
 #: A-Z become a-z, and what is neither a digit, nor a letter, nor beyond ASCII separates words.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -113,16 +115,12 @@ def _runs(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).tolist()
 
 
-def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, bytes]]]:
-    own, size = [], 0
-    for r in bench.toLocalIterator():
-        own.append((r[0], bytes(r[1] or b"")))
-        size += len(own[-1][1]) + 64
-        if size >= block_bytes:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
+def _block(bench: DataFrame, block_bytes: int) -> list[tuple[object, bytes]] | None:
+    """The items, if they are no more than block_bytes together; the driver never holds more."""
+    size = F.octet_length("text") + F.octet_length("name") + 64
+    if (bench.agg(F.sum(size)).first()[0] or 0) > block_bytes:
+        return None
+    return [(r["name"], bytes(r["text"] or b"")) for r in bench.collect()]
 
 
 def contamination(docs: DataFrame, bench: DataFrame, span: int = 8, k: int = 5, block_bytes: int = 16 << 20, keep: bool = False) -> DataFrame:
@@ -130,36 +128,91 @@ def contamination(docs: DataFrame, bench: DataFrame, span: int = 8, k: int = 5,
     have a window in the text, as strings), a row per row of docs.
 
     A word is hit if it lies in an occurrence of a window: span consecutive words of an item, or a whole item of fewer
-    words. Null has no words; an item without words has no window; equal items each count. The benchmark is read in
-    blocks of block_bytes of text, each broadcast by itself; a benchmark of any size takes as many passes as it has
-    blocks, over the same rows and without a shuffle. Other columns are not read, unless
-    with `keep` the whole row is carried along as `row`; doc_id may be null or repeat."""
+    words. Null has no words; an item without words has no window; equal items each count; an empty benchmark hits
+    nothing, and empty docs give an empty table. A benchmark of up to block_bytes is broadcast as a table of fingerprints,
+    and documents are neither shuffled nor written. A larger one is joined with the documents by fingerprint: pairs of a
+    document and an item that share one meet again with their texts, where hits are extended. Other columns are not read,
+    unless with `keep` the whole row is carried along as `row`; doc_id may be null or repeat."""
     if not 1 <= k <= span:
         raise ValueError("a k-gram can't be longer than the window")
-    spark = docs.sparkSession
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"), *([F.struct(*docs.columns).alias("row")] if keep else []))
-    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("binary"))
-    blocks = _blocks(items, block_bytes)
-    for block in chain([next(blocks, [])], blocks):
-        shared = spark.sparkContext.broadcast(Items(block, span, k))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            get = items.vocabulary.get
-            for b in batches:
-                counts, runs, names = [], [], []
-                for t, old, had in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                    words = words_of(t)
-                    counts.append(len(words))
-                    hit, found = items.hits(np.fromiter((get(w, -1) for w in words), np.int64, len(words)))
-                    for lo, hi in zip(old[::2], old[1::2], strict=True):
-                        hit[lo:hi] = True
-                    runs.append(_runs(hit))
-                    names.append(had + [items.names[x] for x in sorted(found)])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string())), *b.columns[5:]], b.schema.names)
-
-        state = state.mapInArrow(run, state.schema)
-    return state.drop("text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *([F.struct(*docs.columns).alias("row")] if keep else []))
+    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("binary").alias("text"))
+    block = _block(items, block_bytes)
+    if block is None:
+        return _joined_by_fingerprint(own, items, span, k)
+    shared = docs.sparkSession.sparkContext.broadcast(Items(block, span, k))
+    fields = "doc_id long, n_words long, hits array<long>, items array<string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
+        get = items.vocabulary.get
+        for b in batches:
+            counts, runs, names = [], [], []
+            for t in b.column(1).to_pylist():
+                words = words_of(t)
+                counts.append(len(words))
+                hit, found = items.hits(np.fromiter((get(w, -1) for w in words), np.int64, len(words)))
+                runs.append(_runs(hit))
+                names.append([items.names[x] for x in sorted(found)])
+            out = [b.column(0), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string())), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "hits", "items", *b.schema.names[2:]])
+
+    schema = T.StructType([*T.StructType.fromDDL(fields).fields, *([own.schema["row"]] if keep else [])])
+    return own.mapInArrow(run, schema)
+
+
+def _fingerprints(texts: DataFrame, span: int, k: int, whole: list[int] | None) -> DataFrame:
+    """(kind, h, n) from (n, text): of kind 0 the winnowed k-grams of words. Of an item (whole is None) of fewer than
+    span words itself, its kind being its number of words; of a document all stretches of the numbers in whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: set[tuple[int, int, int]] = set()
+            for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = words_of(t)
+                ids = np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in words), np.int64, len(words))
+                if whole is not None or len(ids) >= span:
+                    h = _grams(ids, k)
+                    rows.update((0, int(x), n) for x in h[winnow(h, span - k + 1)].tolist())
+                for length in whole if whole is not None else [len(ids)] if 0 < len(ids) < span else []:
+                    rows.update((length, int(x), n) for x in _grams(ids, length).tolist())
+            own = list(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.int32()), pa.array(np.array([r[1] for r in own], np.uint64).view(np.int64)), pa.array([r[2] for r in own], pa.int64())], ["kind", "h", "n"])
+
+    return texts.select("n", "text").mapInArrow(run, "kind int, h long, n long")
+
+
+def _joined_by_fingerprint(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
+    """contamination() of a benchmark of any size."""
+    own = stored(docs.withColumn("n", F.monotonically_increasing_id()), "bench-docs")
+    items = stored(items.withColumn("n", F.monotonically_increasing_id()), "bench-items")
+    marks = stored(_fingerprints(items, span, k, None).withColumnRenamed("n", "item"), "bench-marks")
+    whole = sorted(r[0] for r in marks.where("kind > 0").select("kind").distinct().collect())  # below span: a few
+    found = _fingerprints(own, span, k, whole).join(marks, ["kind", "h"]).select("n", "item").distinct()
+    pairs = stored(found, "bench-pairs")
+    named = items.select(F.col("n").alias("item"), "name", F.col("text").alias("item_text"))
+    texts = joined(joined(pairs, own.select("n", "text"), ["n"]), named, ["item"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for n, text, name, item in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                one, words = Items([(name, item)], span, k), words_of(text)
+                hit, found = one.hits(np.fromiter((one.vocabulary.get(w, -1) for w in words), np.int64, len(words)))
+                if found:
+                    runs = _runs(hit)
+                    rows.append((n, [{"lo": lo, "hi": hi} for lo, hi in zip(runs[::2], runs[1::2], strict=True)], name))
+            kinds = (pa.int64(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["n", "runs", "name"])
+
+    hits = texts.select("n", "text", "name", "item_text").mapInArrow(run, "n long, runs array<struct<lo:long,hi:long>>, name string")
+    hits = hits.groupBy("n").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.collect_list("name")).alias("items"))
+    none = "array_repeat(cast(0 as bigint), 0)"
+    one = "(s, x) -> if(s.hi >= x.lo, named_struct('hi', greatest(s.hi, x.hi), 'out', s.out), named_struct('hi', x.hi, 'out', concat(s.out, array(s.hi, x.lo))))"
+    merged = f"aggregate(runs, named_struct('hi', cast(-1 as bigint), 'out', {none}), {one}, s -> if(s.hi < 0, {none}, slice(array_append(s.out, s.hi), 2, size(s.out))))"
+    n_words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    out = own.join(hits.select("n", F.expr(merged).alias("hits"), "items"), "n", "left")
+    return out.select("doc_id", n_words.alias("n_words"), F.coalesce("hits", F.array().cast("array<long>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *(["row"] if "row" in docs.columns else []))
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, least_items: int = 1, **how) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A shard is a run of rows within one task. Its tree splits at the median of the widest side of the tight box around its
 rows. A query walks a tree best-first, by the highest inner product that a box allows, and stops where that can't
-reach its kth best so far; the kth best is carried from each shard to the next one of the task."""
+reach its kth best so far. The kth best among some of the rows is found first, and bounds the search in all shards; within
+a task the kth best goes on from each shard to the next."""
 
 from __future__ import annotations
 
@@ -14,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tabloom.llm._common import stored
+
 
 class KDTree:
     """rows: n x d of exact numbers. Nodes are numbered from the root, 0; a leaf has no children."""
@@ -46,12 +49,12 @@ class KDTree:
         zero = queries * 0
         return np.maximum(queries, zero) @ self.hi.T + np.minimum(queries, zero) @ self.lo.T
 
-    def search(self, query: np.ndarray, own: int, bound: np.ndarray, best: list[tuple], k: int) -> None:
-        """Improve best, a heap of at most k (score, -id); rows of the id `own` don't count."""
+    def search(self, query: np.ndarray, own: int, bound: np.ndarray, best: list[tuple], k: int, least: float = float("-inf")) -> None:
+        """Improve best, a heap of at most k (score, -id); rows of the id `own`, and scores below `least`, don't count."""
         ahead = [(-bound[0], 0)]
         while ahead:
             b, node = heapq.heappop(ahead)
-            if len(best) == k and -b < best[0][0]:
+            if -b < least or len(best) == k and -b < best[0][0]:
                 return
             if len(best) == k and -b == best[0][0] and self.least[node] >= -best[0][1]:
                 continue
@@ -61,7 +64,7 @@ class KDTree:
                 continue
             members = self.members[node]
             scores, ids = self.rows[members] @ query, self.ids[members]
-            go = ids != own
+            go = (ids != own) & (scores >= least)
             if len(best) == k:
                 go &= scores >= best[0][0]
             scores, ids = scores[go], ids[go]
@@ -92,15 +95,19 @@ def _usable(v: Column) -> Column:
     return v.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def exact_top_k(items: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, block_rows: int = 8192) -> DataFrame:
+def exact_top_k(items: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, block_rows: int = 8192, seed_rows: int = 65_536) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: of each query the k highest inner products with items of another id,
     all if there are fewer; ties to the smaller vec_id.
 
     Both tables have vec_id and embedding; components are turned into floor(256 * x), x as a double. Rows with a null id,
     a null vector or a null or non-finite component (256 * x beyond a double, too) take no part, and items of another length than the query's don't
     for it. A query id that repeats counts once, with its smallest vector; an item that repeats counts as often as it is
-    there. Queries are read in blocks of block_rows, each broadcast by itself; every block is one pass over all items,
-    without a shuffle of them. Scores beyond a long are cut to its range."""
+    there. Empty tables give an empty one; other columns are not read.
+
+    Queries are read in blocks of block_rows, each broadcast by itself, searched for in one pass over all items without a
+    shuffle of them, and written before the next block is read: one block lives at a time, on the driver too. About
+    seed_rows items, chosen by a hash, are searched first where there are more: their kth best score is a lower bound of
+    the kth best of all, so that tasks pass on only what may be among the best. Scores beyond a long are cut to its range."""
     spark = items.sparkSession
 
     def usable(df: DataFrame) -> DataFrame:
@@ -113,11 +120,19 @@ def exact_top_k(items: DataFrame, queries: DataFrame, k: int = 5, shard_rows: in
     found = None
     block: list = []
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = usable(items)
+    share = rows.count() // seed_rows
     for row in _then_none(asked.toLocalIterator()):
         if row is not None:
             block.append((row[0], floors(row[1])))
         if block and (row is None or len(block) == block_rows):
-            part = _pass(spark, usable(items), block, k, shard_rows)
+            least = {}
+            if share > 1:
+                seeds = _pass(spark, rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0), block, k, shard_rows, {})
+                kth = F.element_at(F.sort_array(F.collect_list("score"), asc=False), k)
+                best = seeds.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("rank") <= k)
+                least = {r[0]: r[1] for r in best.groupBy("query_id").agg(F.count("*").alias("n"), kth.alias("kth")).where((F.col("n") == k) & (F.col("kth") > F.lit(-(1 << 63)))).select("query_id", "kth").collect()}
+            part = _pass(spark, rows, block, k, shard_rows, least)
             found = part if found is None else found.unionByName(part)
             block = []
     if found is None:
@@ -131,15 +146,16 @@ def _then_none(rows: Iterator) -> Iterator:
     yield None
 
 
-def _pass(spark, items: DataFrame, block: list[tuple[int, list[int]]], k: int, shard_rows: int) -> DataFrame:
-    shared = spark.sparkContext.broadcast(block)
+def _pass(spark, items: DataFrame, block: list[tuple[int, list[int]]], k: int, shard_rows: int, least: dict[int, int]) -> DataFrame:
+    """(query_id, vec_id, score), written: of each query of the block up to k of each task's items, at `least` or more."""
+    shared = spark.sparkContext.broadcast((block, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_length = defaultdict(list)
-        for q, v in shared.value:
+        for q, v in shared.value[0]:
             by_length[len(v)].append((q, v))
         asked = {d: ([q for q, _ in x], _matrix([v for _, v in x])) for d, x in by_length.items()}
-        best = {q: [] for q, _ in shared.value}
+        best, least = {q: [] for q, _ in shared.value[0]}, shared.value[1]
         waiting = defaultdict(list)
 
         def search(d: int) -> None:
@@ -151,7 +167,7 @@ def _pass(spark, items: DataFrame, block: list[tuple[int, list[int]]], k: int, s
             tree = KDTree(np.array([i for i, _ in own], np.int64), rows)
             bounds = tree.bounds(queries)
             for j, q in enumerate(names):
-                tree.search(queries[j], q, bounds[j].tolist(), best[q], k)
+                tree.search(queries[j], q, bounds[j].tolist(), best[q], k, least.get(q, float("-inf")))
 
         for b in batches:
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -164,4 +180,6 @@ def _pass(spark, items: DataFrame, block: list[tuple[int, list[int]]], k: int, s
         out = [(q, -i, max(-(1 << 63), min((1 << 63) - 1, int(s)))) for q, found in best.items() for s, i in found]
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
-    return items.mapInArrow(run, "query_id long, vec_id long, score long")
+    out = stored(items.mapInArrow(run, "query_id long, vec_id long, score long"), "topk-block")
+    shared.destroy()
+    return out

@@ -42,6 +42,7 @@ def test_odd_rows(spark):
     want = brute.contamination_rows(docs, [(i, t) for i, t in bench if i is not None] + [("", "b-c-d")])
     got = run(spark, more, bench)
     assert [r[:3] for r in got] == [r[:3] for r in sorted(want, key=repr)]
+    assert run(spark, more, bench, block_bytes=1) == got and run(spark, [], bench, block_bytes=1) == []
     assert run(spark, [], bench) == []
     assert run(spark, more[:2], []) == [(1, 0, 0, 0, d.sha256_of([]), False), (None, 10, 0, 0, d.sha256_of([]), False)]
     with pytest.raises(ValueError):

@@ -24,7 +24,7 @@ def run(df, **how):
     return sorted(map(tuple, topk.exact_top_k(df, df.where("vec_id % 50 = 0"), **how).collect()))
 
 
-@pytest.mark.parametrize("how", [{}, {"shard_rows": 37, "block_rows": 3}])
+@pytest.mark.parametrize("how", [{}, {"shard_rows": 37, "block_rows": 3}, {"seed_rows": 40, "shard_rows": 16, "block_rows": 1}])
 def test_against_brute_force(spark, how):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     assert run(df, **how) == brute([(r[0], r[1]) for r in df.collect()])
@@ -37,6 +37,7 @@ def test_ties_and_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     cut = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
     assert run(df, shard_rows=64) == [(q, k, i, cut(s)) for q, k, i, s in brute(rows)]
+    assert run(df, shard_rows=64, seed_rows=50) == run(df)
     assert run(df.limit(0)) == []
 
 
