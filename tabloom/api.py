@@ -25,7 +25,8 @@ def dump_layout(spark: SparkSession, query: str | None = None) -> str:
 
 
 def dump_statistic(spark: SparkSession, sf_dir: str, query: str | None = None) -> DataFrame:
-    return artifacts.stats_frame(spark, sf_dir, _tables(spark, query))
+    """Statistics of the tables that are there."""
+    return artifacts.stats_frame(spark, sf_dir, [t for t in _tables(spark, query) if artifacts.exists(spark, f"{sf_dir}/{t}.parquet")])
 
 
 def dump_settings(spark: SparkSession) -> dict[str, str | None]:

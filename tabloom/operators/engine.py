@@ -17,19 +17,17 @@ Maker = Callable[[SparkSession, int, int, int, dict[str, DataFrame]], DataFrame]
 def fill(spark: SparkSession, n: int, make: Maker, parents: dict[str, DataFrame], rules: dict, retries: int = 3) -> DataFrame:
     """n rows that keep the rules (those of validate.split). Rows that break one are made again with another salt, a
     bounded number of times; fewer rows than asked are an error, as is a round that adds none."""
-    kept = None
+    kept, have = None, 0
     for salt in range(retries + 1):
-        have = kept.count() if kept is not None else 0
-        if have == n:
-            break
         more = make(spark, salt * n, n - have, salt, parents)
-        both = more if kept is None else kept.unionByName(more)
-        ok, _ = validate.split(both, "row_id", **rules)
-        ok = checkpointed(ok)
-        if kept is not None and ok.count() == have:
+        for key in rules.get("keys", ()) if kept is not None else ():  # kept rows are not judged again
+            more = more.join(kept.select(*key), list(key), "left_anti").select(*kept.columns)
+        ok, _ = validate.split(more, "row_id", **rules)
+        kept = checkpointed(ok if kept is None else kept.unionByName(ok))
+        before, have = have, kept.count()
+        if have == n or salt and have == before:
             break
-        kept = ok
-    if kept is None or kept.count() < n:
+    if have < n:
         raise ValueError(f"{n} rows can't be made in {retries} retries")
     return kept
 

@@ -42,37 +42,60 @@ def at(d: str, values: str, i: str) -> str:
     return f"element_at({values}, cast({i} as int) + 1)" if d == SPARK else f"({values})[cast({i} as int) + 1]"
 
 
-def _rank(d: str, cumulative: list[float], r: str) -> str:
-    """How many of the cumulative chances r has reached."""
-    c = array(d, [repr(x) for x in cumulative], "double").replace("'", "")
-    return f"size(filter({c}, x -> x <= {r}))" if d == SPARK else f"len(list_filter({c}, lambda x: x <= {r}))"
-
-
-def normal(d: str, s: Stats, kind: str, row: str, table: str = "t", r: str | None = None) -> str:
+def alias_table(weights: list[float]) -> tuple[list[float], list[int]]:
+    """Walker's alias table: of n equally likely cells, the share that is the cell's own, and what the rest stands for."""
+    n, total = len(weights), sum(weights)
+    share, other = [w * n / total for w in weights], list(range(n))
+    low = [i for i, x in enumerate(share) if x < 1]
+    high = [i for i, x in enumerate(share) if x >= 1]
+    while low and high:
+        a, b = low.pop(), high[-1]
+        other[a] = b
+        share[b] -= 1 - share[a]
+        if share[b] < 1:
+            low.append(high.pop())
+    return [round(min(1.0, x), 12) for x in share], other
+
+
+def picked(d: str, values: list, weights: list[float], kind: str, u: str) -> str:
+    """A value by its weight from a uniform number u, in constant time: one cell of the alias table is looked at."""
+    n = len(values)
+    if n < 2:
+        return at(d, array(d, values, kind), "0")
+    share, other = alias_table(weights)
+    cell = f"least({n - 1}, cast(floor({u} * {n}) as int))"
+    shares, others = array(d, [repr(x) for x in share], "double").replace("'", ""), array(d, other, "int")
+    own = f"({u} * {n} - {cell} < {at(d, shares, cell)})"
+    return at(d, array(d, values, kind), f"case when {own} then {cell} else {at(d, others, cell)} end")
+
+
+def normal(d: str, s: Stats, kind: str, row: str, table: str = "t", r: str | None = None, place=None, free: str | None = None) -> str:
     """One uniform number decides between null, a most common value and a bucket; a second one is the place within the
-    bucket. Numbers only; the bucket is found by arithmetic, and equal bounds give the bound.
+    bucket. The bucket is found by arithmetic, the common value by an alias table, and equal bounds give the bound.
 
-    A value within a bucket that is a most common one is drawn again, four times at most. r names a column that already
-    holds the first number, which the expression needs several times."""
+    place(bucket, salt) is a value of a bucket (by number), of integers by default; free is a value for all mass that
+    neither nulls, common values nor buckets have. A value within a bucket that is a most common one is drawn again, four
+    times at most. r names a column that already holds the first number, which the expression needs several times."""
     r = r or uniform(d, table, s.name, row)
-    edge = s.null_frac
-    cumulative = []
-    for _, f in s.mcv:
-        edge += f
-        cumulative.append(edge)
+    edge = s.null_frac + sum(f for _, f in s.mcv)
     parts = [f"when {r} < {s.null_frac!r} then null"] if s.null_frac else []
+    values = array(d, [v for v, _ in s.mcv], kind) if s.mcv else None
     if s.mcv:
-        parts.append(f"when {r} < {edge!r} then {at(d, array(d, [v for v, _ in s.mcv], kind), _rank(d, cumulative, r))}")
+        inner = f"(({r} - {s.null_frac!r}) / {edge - s.null_frac!r})"
+        parts.append(f"when {r} < {edge!r} then {picked(d, [v for v, _ in s.mcv], [f for _, f in s.mcv], kind, inner)}")
     n = len(s.bounds) - 1
     if n < 1:
-        last = at(d, array(d, [v for v, _ in s.mcv], kind), str(len(s.mcv) - 1)) if s.mcv else "null"
-        return f"case {' '.join(parts)} else {last} end" if parts else "null"
-    bounds = array(d, s.bounds, kind)
-    bucket = f"least({n - 1}, cast(floor(({r} - {edge!r}) / {max(1e-12, 1 - edge)!r} * {n}) as int))"
-    lo, hi = at(d, bounds, bucket), at(d, bounds, f"{bucket} + 1")
-    place = lambda salt: f"({lo} + cast(floor({uniform(d, table, s.name, row, salt)} * ({hi} - {lo})) as {kind}))"
-    draws = [place(k) for k in (1, 2, 3, 4)] if s.mcv else [place(1)]
-    values = array(d, [v for v, _ in s.mcv], kind)
+        last = free or (at(d, values, str(len(s.mcv) - 1)) if s.mcv else "null")
+        return f"case {' '.join(parts)} else {last} end" if parts else last
+    bucket = f"greatest(0, least({n - 1}, cast(floor(({r} - {edge!r}) / {max(1e-12, 1 - edge)!r} * {n}) as int)))"
+    if place is None:
+        bounds = array(d, s.bounds, kind)
+
+        def place(b: str, salt: int) -> str:
+            lo, hi = at(d, bounds, b), at(d, bounds, f"{b} + 1")
+            return f"({lo} + cast(floor({uniform(d, table, s.name, row, salt)} * ({hi} - {lo})) as {kind}))"
+
+    draws = [place(bucket, k) for k in (1, 2, 3, 4)] if s.mcv else [place(bucket, 1)]
     tried = draws[-1]
     for x in reversed(draws[:-1]):
         has = f"array_contains({values}, {x})" if d == SPARK else f"list_contains({values}, {x})"
@@ -145,46 +168,60 @@ def reweighted(weight: float, used: int, empty: int, common: bool) -> float:
 
 
 def weighted(d: str, values: list, weights: list[float], kind: str, row: str, name: str, salt: int = 0) -> str:
-    """A value by its weight: how many cumulative weights a uniform number has reached."""
-    total, cum, out = sum(weights), 0.0, []
-    for w in weights[:-1]:
-        cum += w / total
-        out.append(cum)
-    rank = _rank(d, out, uniform(d, "pool", name, row, salt)) if out else "0"
-    return at(d, array(d, values, kind), rank)
+    """A value by its weight."""
+    return picked(d, values, weights, kind, uniform(d, "pool", name, row, salt))
 
 
-def composite(spark: SparkSession, n: int, pools: dict[str, tuple[list, list[float], str]], must: DataFrame | None = None, rounds: int = 3, over: float = 1.5) -> DataFrame:
+def with_fresh(pool: list[int], weights: list[float], empty: int) -> tuple[list[int], list[float]]:
+    """The pool after a round in vain: a tenth as many fresh values above its largest, sharing a tenth of the weight for
+    each round that gave nothing."""
+    more = max(1, len(pool) // 10)
+    top, total = max(pool), sum(weights) * 0.1 * max(1, empty)
+    return [*pool, *range(top + 1, top + 1 + more)], [*weights, *[total / more] * more]
+
+
+def composite(spark: SparkSession, n: int, pools: dict[str, tuple[list, list[float], str]], must: DataFrame | None = None, rounds: int = 4, over: float = 1.5) -> DataFrame:
     """n distinct tuples over pools (values, weights, type): mandatory tuples first, then weighted draws, oversampled and
-    deduplicated by their earliest draw; a deficit is drawn again with another salt, and what is short after `rounds`
-    rounds is filled from all combinations in mixed-radix order, an exact way while the pools allow n tuples at all."""
+    deduplicated. A deficit is drawn again with another salt, values being reweighted by how often they were used; what
+    is short after `rounds` rounds is filled from all combinations in mixed-radix order, an exact way while the pools
+    allow n tuples at all. Tuples are cut to n by the rank of a hash over ranges, so that no task holds all of them."""
     names = list(pools)
     space = math.prod(len(v) for v, _, _ in pools.values())
     if space < n:
         raise ValueError(f"{space} combinations can't give {n} distinct tuples")
-    got = None
+    got, have, empty = None, 0, 0
     if must is not None:
-        got = checkpointed(must.select(*names).distinct().limit(n))
+        got = checkpointed(_first(must.select(*names).distinct(), names, n))
+        have = got.count()
     for salt in range(rounds):
-        need = n - (got.count() if got is not None else 0)
-        if not need:
+        if have == n:
             break
-        drawn = spark.range(math.ceil(need * over) + 8).selectExpr("id", *[f"{weighted(SPARK, v, w, k, 'id', c, salt)} as {c}" for c, (v, w, k) in pools.items()])
+        own = {c: (v, [reweighted(w, round(have * w / sum(ws)), empty, w == max(ws)) for w in ws] if salt else ws, k) for c, (v, ws, k) in pools.items()}
+        drawn = spark.range(math.ceil((n - have) * over) + 8).selectExpr(*[f"{weighted(SPARK, v, w, k, 'id', c, salt)} as {c}" for c, (v, w, k) in own.items()]).distinct()
         if got is not None:
             drawn = drawn.join(got, names, "left_anti")
-        fresh = drawn.groupBy(*names).agg(F.min("id").alias("id")).orderBy("id").limit(need).select(*names)
+        fresh = _first(drawn, names, n - have)
         got = checkpointed(fresh if got is None else got.unionByName(fresh))
-    need = n - got.count()
-    if need:
+        now = got.count()
+        empty, have = empty + (now == have), now
+    if have < n:
         radix, parts = 1, []
         for c, (v, _, k) in pools.items():
             parts.append(f"{at(SPARK, array(SPARK, v, k), f'(id div {radix}) % {len(v)}')} as {c}")
             radix *= len(v)
-        spare = spark.range(min(space, n + need)).selectExpr("id", *parts).join(got, names, "left_anti").orderBy("id").limit(need)
-        got = got.unionByName(spare.select(*names))
+        spare = spark.range(min(space, 2 * n)).selectExpr(*parts)
+        got = got.unionByName(_first(spare.join(got, names, "left_anti"), names, n - have))
     return got
 
 
+def _first(rows: DataFrame, names: list[str], n: int) -> DataFrame:
+    """n of the distinct rows, or all: those of the smallest hash."""
+    rows = checkpointed(rows.withColumn("first_hash", F.xxhash64(*names)))
+    if rows.count() <= n:
+        return rows.drop("first_hash")
+    return ranked(rows, ["first_hash", *names]).where(F.col("rank") < n).select(*names)
+
+
 def ranked(parent: DataFrame, keys: list[str]) -> DataFrame:
     """parent's distinct keys with their rank from 0, in key order: range-partitioned, each range offset by those before
     it, so that no task sorts all keys."""
@@ -206,25 +243,53 @@ def common_keys(parents: list[tuple[DataFrame, list[str]]], names: list[str]) ->
     return out
 
 
-def one_to_many(spark: SparkSession, n: int, keys: DataFrame, names: list[str], null_frac: float = 0.0, table: str = "fk") -> DataFrame:
-    """id and the names: a parent key for each row, uniformly; a single key is null at null_frac, a composite one never.
-    Without a parent key it is an error."""
+def parent_rank(places: DataFrame, m: int, names: list[str], row: str, null_frac: float = 0.0, common: list[tuple] = (), table: str = "fk", salt: int = 0) -> str:
+    """SQL for the rank of a row's parent among m ranked ones: null at null_frac, each of common (key, share) by its share
+    if there is such a parent, else any, uniformly."""
+    share = {}
+    if common and len(names) == 1:
+        wanted = places.sparkSession.createDataFrame([(k,) for k, _ in common], places.select(*names).schema)
+        found = {r[0]: r[1] for r in places.join(F.broadcast(wanted), names).select(names[0], "rank").collect()}
+        share = {found[k]: f for k, f in common if k in found}
+    rest = below(SPARK, m, table, "parent", row, salt)
+    r, edge = uniform(SPARK, table, "null", row, salt), null_frac + sum(share.values())
+    parts = [f"when {r} < {null_frac!r} then null"] if null_frac else []
+    if share:
+        parts.append(f"when {r} < {edge!r} then {picked(SPARK, list(share), list(share.values()), 'bigint', f'(({r} - {null_frac!r}) / {edge - null_frac!r})')}")
+    return f"case {' '.join(parts)} else {rest} end" if parts else rest
+
+
+def one_to_many(spark: SparkSession, n: int, keys: DataFrame, names: list[str], null_frac: float = 0.0, table: str = "fk", common: list[tuple] = ()) -> DataFrame:
+    """id and the names: a parent key for each row, by the shares of common keys, else uniformly; a single key is null at
+    null_frac, a composite one never. Without a parent key it is an error."""
     places = checkpointed(ranked(keys, names))
     m = places.count()
     if not m:
         raise ValueError("no parent has a key")
-    null = null_frac if len(names) == 1 else 0.0
-    draws = spark.range(n).selectExpr("id", f"case when {uniform(SPARK, table, 'null', 'id')} < {null!r} then null else {below(SPARK, m, table, 'parent', 'id')} end as rank")
-    return draws.join(places, "rank", "left").select("id", *names)
+    rank = parent_rank(places, m, names, "id", null_frac if len(names) == 1 else 0.0, common, table)
+    return spark.range(n).selectExpr("id", f"{rank} as rank").join(places, "rank", "left").select("id", *names)
 
 
-def one_to_one(spark: SparkSession, n: int, keys: DataFrame, names: list[str]) -> DataFrame:
-    """id and the names: a different parent key for each row, by a bijection of ranks. Fewer keys than rows are an error."""
+def one_to_one(spark: SparkSession, n: int, keys: DataFrame, names: list[str], null_frac: float = 0.0) -> DataFrame:
+    """id and the names: a different parent key for each row, by a bijection of ranks; a single key is null at null_frac.
+    Fewer keys than rows are an error."""
     places = checkpointed(ranked(keys, names))
     m = places.count()
     if m < n:
         raise ValueError(f"{m} parent keys can't serve {n} rows")
-    return spark.range(n).selectExpr("id", f"{permuted('id', m)} as rank").join(places, "rank").select("id", *names)
+    rank = permuted("id", m)
+    if null_frac and len(names) == 1:
+        rank = f"case when {uniform(SPARK, 'fk', 'null', 'id')} < {null_frac!r} then null else {rank} end"
+    return spark.range(n).selectExpr("id", f"{rank} as rank").join(places, "rank", "left").select("id", *names)
+
+
+def related(spark: SparkSession, n: int, keys: DataFrame, names: list[str], kind: str, null_frac: float = 0.0, common: list[tuple] = ()) -> DataFrame:
+    """Parent keys by the kind of relationship, of one column or several."""
+    if kind == "ONE_TO_ONE":
+        return one_to_one(spark, n, keys, names, null_frac)
+    if kind == "ONE_TO_MANY":
+        return one_to_many(spark, n, keys, names, null_frac, common=common)
+    raise ValueError(f"no generator for {kind}")
 
 
 def slice_of(table: DataFrame, lo: int, hi: int) -> DataFrame:

@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def _whole(keys: list[str]) -> Column:
+    """No column of the key is null."""
+    return F.expr(" and ".join(f"`{k}` is not null" for k in keys))
+
+
+def _first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The keys that several rows have, with the earliest of each: one row a key, and none for a key that is one."""
+    first = df.where(_whole(keys)).groupBy(*keys).agg(F.min(order).alias("split_first"), F.count("*").alias("split_n"))
+    return first.where("split_n > 1").drop("split_n")
+
+
 def unique_violations(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows with a key without nulls that an earlier row has. The winner is found by a partial minimum and joined back,
-    so that a hot key never fills one task."""
-    whole = df.where(F.expr(" and ".join(f"{k} is not null" for k in keys)))
-    first = whole.groupBy(*keys).agg(F.min(order).alias("first_row"))
-    return whole.join(first, keys).where(F.col(order) > F.col("first_row")).drop("first_row").select(*df.columns)
+    """Rows with a key without nulls that an earlier row has. The winner is found by a partial minimum; only keys that
+    repeat are joined back. A row without an order comes after those with one."""
+    late = F.col(order).isNull() & F.col("split_first").isNotNull() | (F.col(order) > F.col("split_first"))
+    return df.join(_first_of(df, keys, order), keys).where(late).select(*df.columns)
 
 
 def foreign_violations(df: DataFrame, keys: list[str], parent: DataFrame, refs: list[str]) -> DataFrame:
@@ -33,20 +43,27 @@ def check_violations(df: DataFrame, check: Column) -> DataFrame:
 
 
 def split(df: DataFrame, order: str, not_null: list[str] = (), keys: list[list[str]] = (), parents: list[tuple[list[str], DataFrame, list[str]]] = (), checks: list[Column] = ()) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected). Nulls, checks and foreign keys are judged first: a row that they reject claims no key."""
-    bad = df.select(order).limit(0)
-    if not_null:
-        bad = bad.union(null_violations(df, list(not_null)).select(order))
+    """(accepted, rejected). Nulls, checks and foreign keys are judged first: a row that they reject claims no key.
+
+    Nulls and checks are a flag of the row itself, a parent is looked up by one join a foreign key, and the earliest row
+    of a key that repeats by another; the row's number is never joined on."""
+    bad = F.lit(False)
+    for c in not_null:
+        bad = bad | F.col(c).isNull()
     for c in checks:
-        bad = bad.union(check_violations(df, c).select(order))
-    for own, parent, refs in parents:
-        bad = bad.union(foreign_violations(df, own, parent, refs).select(order))
-    bad = bad.distinct()
-    left = df.join(bad, order, "left_anti")
+        bad = bad | ~F.coalesce(c, F.lit(True))
+    judged = df.withColumn("split_bad", bad)
+    for i, (own, parent, refs) in enumerate(parents):
+        ref = parent.select(*[F.col(r).alias(f"split_ref_{j}") for j, r in enumerate(refs)]).distinct().withColumn("split_there", F.lit(True))
+        same = F.lit(True)
+        for j, k in enumerate(own):
+            same = same & (F.col(k) == F.col(f"split_ref_{j}"))
+        judged = judged.join(ref, same, "left").withColumn("split_bad", F.col("split_bad") | (_whole(own) & F.col("split_there").isNull())).select(*df.columns, "split_bad")
     for k in keys:
-        late = unique_violations(left, k, order).select(order)
-        left, bad = left.join(late, order, "left_anti"), bad.union(late)
-    return left, df.join(bad.distinct(), order, "left_semi")
+        first = _first_of(judged.where(~F.col("split_bad")), k, order)
+        late = F.col("split_first").isNotNull() & (F.col(order).isNull() | (F.col(order) > F.col("split_first")))
+        judged = judged.join(first, k, "left").withColumn("split_bad", F.col("split_bad") | F.coalesce(late, F.lit(False))).select(*df.columns, "split_bad")
+    return judged.where(~F.col("split_bad")).drop("split_bad"), judged.where(F.col("split_bad")).drop("split_bad")
 
 
 def key_report(df: DataFrame, keys: list[str]) -> DataFrame:

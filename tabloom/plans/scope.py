@@ -23,6 +23,20 @@ def views(spark: SparkSession, query: str) -> list[str]:
     return [n for n in relations(spark, query) if (t := _table(spark, n)) and t.tableType in ("VIEW", "TEMPORARY")]
 
 
+def view_closure(spark: SparkSession, query: str, texts: dict[str, str]) -> list[tuple[str, str]]:
+    """(view, relation): of the views that a query reaches, through other views too, what each one reads. texts are the
+    views' definitions; each view is visited once."""
+    todo, seen, out = relations(spark, query), set(), []
+    while todo:
+        name = todo.pop()
+        if name in texts and name not in seen:
+            seen.add(name)
+            below = relations(spark, texts[name])
+            out += [(name, r) for r in below]
+            todo += below
+    return out
+
+
 def _table(spark: SparkSession, name: str):
     return spark.catalog.getTable(name) if spark.catalog.tableExists(name) else None
 

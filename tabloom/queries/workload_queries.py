@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -20,8 +19,7 @@ ALL: dict = {}
 
 
 def shared(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/artifact-{uuid.uuid4().hex}"
+    return f"{P.shared_dir(spark)}/artifact-{uuid.uuid4().hex}"
 
 
 def micros(d: str, ts: str, hours: int) -> str:
@@ -99,7 +97,6 @@ def _constraints_csv(s, sf):
 
 _WORDS = {"p": "PRIMARY KEY", "u": "UNIQUE", "f": "FOREIGN KEY", "c": "CHECK"}
 ALL["src6_constraints_csv"] = (_constraints_csv, "select * from " + K.values(DUCK, [(n, _WORDS[k], i, f"public.{t}.{K.column_of(t, c)}") for n, k, t, key, _, _ in K.CONSTRAINTS for i, c in enumerate(key)], 'constraint_name, type, i, "column"') + " v")
-ALL["src11_catalog"] = (lambda s, sf: s.createDataFrame([(t, f.name, f.dataType.simpleString()) for t in ("orders", "nation") for f in read(s, sf, t).schema], "tab string, col string, typ string"), None)
 ALL["src12_explain_json"] = (
     lambda s, sf: s.createDataFrame([(S.count(n), S.weight(n)) for n in [S.parse('[{"Plan": {"Node Type": "Hash Join", "Plans": [{"Node Type": "Seq Scan", "Relation Name": "a"}, {"Node Type": "Hash", "Plans": [{"Node Type": "Index Scan", "Index Name": "i"}]}]}}]')]], "nodes long, weight double"),
     "select 4 as nodes, 10.5::double as weight",

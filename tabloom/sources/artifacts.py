@@ -35,6 +35,7 @@ def stats_frame(spark: SparkSession, sf_dir: str, tables: list[str], k: int = 10
         common: dict[str, list] = {}
         for r in P.most_common(df, cols, k).orderBy("rank").collect():  # at most k rows a column
             common.setdefault(r["col"], []).append((r["value"], r["freq"]))
+        bounds = _bounds(df, cols, common, k)
         for own, num, c, kind in catalog.attributes():
             if own != t or c not in base:
                 continue
@@ -44,11 +45,31 @@ def stats_frame(spark: SparkSession, sf_dir: str, tables: list[str], k: int = 10
             b, mcv = base[c], common.get(c, [])
             modifiers = " ".join(w for f, w in (("p", "PRIMARY KEY"), ("f", "FOREIGN KEY"), ("u", "UNIQUE"), ("c", "CHECK")) if f in flags)
             one = "ONE_TO_ONE" if flags & {"p"} and sum(num in key for _, x, ct, key, _, _ in catalog.CONSTRAINTS if ct == t and x == "p" and len(key) == 1) else "ONE_TO_MANY"
-            rows.append(("public", t, c, kind, str(b["row_count"]), str(b["null_percent"]), modifiers or None, ", ".join(into) or None, str(ddl.max_length(kind)), ", ".join(out) or None, ", ".join([one] * len(out)) or None, render_array([v for v, _ in mcv]) if mcv else None, "{" + ",".join(map(str, [f for _, f in mcv])) + "}" if mcv else None, str(b["avg_width"]), str(b["ndistinct"]), None))
+            rows.append(("public", t, c, kind, str(b["row_count"]), str(b["null_percent"]), modifiers or None, ", ".join(into) or None, str(ddl.max_length(kind)), ", ".join(out) or None, ", ".join([one] * len(out)) or None, render_array([v for v, _ in mcv]) if mcv else None, "{" + ",".join(map(str, [f for _, f in mcv])) + "}" if mcv else None, str(b["avg_width"]), str(b["ndistinct"]), render_array(bounds.get(c))))
     return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in STATS))
 
 
+def _bounds(df: DataFrame, cols: list[str], common: dict[str, list], k: int) -> dict[str, list[str]]:
+    """Of each column the bounds of its histogram as text, where its most common values leave two values at least."""
+    from tabloom.operators import profile as P
+
+    parts = None
+    for c in cols:
+        one = P.histogram(df, c, P.BUCKETS, k).select(F.lit(c).alias("col"), "i", F.col("bound").cast("string").alias("bound"))
+        parts = one if parts is None else parts.unionByName(one)
+    found: dict[str, list] = {}
+    for r in parts.orderBy("col", "i").collect() if parts is not None else ():  # 101 rows a column
+        found.setdefault(r["col"], []).append(r["bound"])
+    return {c: b for c, b in found.items() if len(set(b)) > 1}
+
+
 def constraints_frame(spark: SparkSession) -> DataFrame:
     words = {"p": "PRIMARY KEY", "u": "UNIQUE", "f": "FOREIGN KEY", "c": "CHECK"}
     rows = [(n, words[k], ", ".join(f"public.{t}.{catalog.column_of(t, i)}" for i in key)) for n, k, t, key, _, _ in catalog.CONSTRAINTS]
     return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in CONSTRAINTS)).orderBy(F.split("columns", r"\.")[1], "type")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -183,3 +183,25 @@ def test_approximate_profile(spark):
     assert P.ndistinct(df, ["id"], True).first()[1] < 0
     assert len(P.quick_profile(df, "id", 4).first()["bounds"]) == 5
     assert P.most_common_elements(df.select(F.array(F.col("id") % 3).alias("a")), "a", 2).count() == 2
+
+
+def test_command_line(spark, tmp_path):
+    from tabloom import __main__ as cli
+
+    f = tmp_path / "export.yaml"
+    f.write_text(f"dbname: {SF}\nquery: select * from nation join region on n_regionkey = r_regionkey\nschema-file: {tmp_path}/s.sql\nexplainfile: {tmp_path}/e.json\nstats-file: {tmp_path}/stats\nconstr-file: {tmp_path}/keys\n")
+    assert len(cli.export(spark, str(f))) == 4 and "CREATE TABLE public.nation" in (tmp_path / "s.sql").read_text()
+    g = tmp_path / "generate.yaml"
+    g.write_text("".join(f"{k}: x\n" for k in config.REQUIRED) + f"stat_path: {tmp_path}/stats\nconstraint_file: {tmp_path}/keys\n")
+    assert cli.generate(spark, str(g), {"dbname": str(tmp_path / "db")}) == ["nation", "region"]
+    assert spark.read.parquet(f"{tmp_path}/db/nation.parquet").count() == 25
+
+
+def test_alias_tables():
+    for weights in ([0.5, 0.3, 0.2], [1.0], [0.0, 1.0, 3.0, 0.5], [0.1] * 7):
+        share, other = G.alias_table(weights)
+        got = [0.0] * len(weights)
+        for i, (s, o) in enumerate(zip(share, other)):
+            got[i] += s / len(weights)
+            got[o] += (1 - s) / len(weights)
+        assert got == pytest.approx([w / sum(weights) for w in weights], abs=1e-9)
