@@ -162,8 +162,8 @@ def _dealt(kinds: np.ndarray, ids: list[np.ndarray], counts: np.ndarray, raw: np
         yield s, _pack([np.diff(kinds[used], prepend=U(0)), *part, n, r[:0] if np.array_equal(n, r) else r], True)
 
 
-def _count(texts: DataFrame, order: int, shards: int) -> DataFrame:
-    """(shard, blob) of the n-grams of the highest order."""
+def _count(texts: DataFrame, order: int, shards: int, turn: int, turns: int) -> DataFrame:
+    """(shard, blob) of the n-grams of the highest order, of the ranges whose turn it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
@@ -180,8 +180,10 @@ def _count(texts: DataFrame, order: int, shards: int) -> DataFrame:
                 column = np.full(len(ids), begin)
                 column[back:] = np.where(place[back:] >= back, ids[: len(ids) - back], begin)
                 columns.append(column)
+            own = contexts(words, per, order)[-1] if order > 1 else words
+            own = np.flatnonzero(own % U(shards) % U(turns) == U(turn))
             del words, place
-            ids, (n,) = _merged(columns, len(kinds), [np.ones(len(ids), np.uint8)])
+            ids, (n,) = _merged([c[own] for c in columns], len(kinds), [np.ones(len(own), np.uint8)])
             rows = list(_dealt(kinds, ids, n, n, shards))
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "blob"])
 
@@ -375,23 +377,32 @@ class Model:
         return raw[of], np.log10(p)
 
 
-def train(texts: DataFrame, order: int = 3, shard_chars: int = 16 << 20) -> Model:
+def train(texts: DataFrame, order: int = 3, shard_chars: int = 16 << 20, turns: int = 2) -> Model:
     """The model of all rows of texts (a binary column). The ranges are as many as the corpus needs at shard_chars
-    bytes each, so that a task's memory doesn't grow with it."""
+    bytes each, so that a task's memory doesn't grow with it. They are counted in turns, so that only a part of what
+    moves is on disks at a time; texts are read once a turn."""
     spark = texts.sparkSession
     column = texts.columns[0]
     texts = texts.select(F.coalesce(F.col(column), F.lit(b"")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     shards = max(8, -(-size // shard_chars))
     folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
-    blobs, stats, rows = _count(texts, order, shards), {}, None
+    stats, rows = {}, None
     for m in range(order, 0, -1):
-        last, rows = rows, stored(_gather(blobs, m, shards, folder), f"lm-counts-{m}")
-        if last is not None:
-            removed(last)
+        parts = []
+        for turn in range(turns):
+            if rows is None:
+                blobs = _count(texts, order, shards, turn, turns)
+            else:
+                blobs = rows.where(F.col("next") % turns == turn).select(F.col("next").alias("shard"), "blob")
+            parts.append(stored(_gather(blobs, m, shards, folder), f"lm-counts-{m}-{turn}"))
+        if rows is not None:
+            removed(rows)
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
         sums = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4", "kinds", "total", "raw")]).first()
         stats[m] = [int(x) for x in sums]
-        blobs = rows.where("next is not null").select(F.col("next").alias("shard"), "blob")
     return Model(folder, order, shards, stats)
 
 
