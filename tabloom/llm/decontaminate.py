@@ -21,6 +21,8 @@ from tabloom.llm._common import joined, stored
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Texts that a worker takes apart at a time.
+ROWS = 256
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -215,10 +217,28 @@ def _joined_by_fingerprint(docs: DataFrame, items: DataFrame, span: int, k: int)
     return out.select("doc_id", n_words.alias("n_words"), F.coalesce("hits", F.array().cast("array<long>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *(["row"] if "row" in docs.columns else []))
 
 
-def decontaminated(docs: DataFrame, bench: DataFrame, least_items: int = 1, **how) -> DataFrame:
-    """The rows of docs, all their columns, that have windows of fewer than least_items items."""
-    marked = contamination(docs, bench, keep=True, **how).where(F.size(F.array_distinct("items")) < least_items)
-    return marked.select("row.*")
+def decontaminated(docs: DataFrame, bench: DataFrame, least_items: int = 1, span: int = 8, k: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs, all their columns, that have windows of fewer than least_items items (see contamination)."""
+    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("binary").alias("text"))
+    block = _block(items, block_bytes)
+    if block is None:
+        marked = contamination(docs, bench, span, k, block_bytes, keep=True).where(F.size(F.array_distinct("items")) < least_items)
+        return marked.select("row.*")
+    shared, at = docs.sparkSession.sparkContext.broadcast(Items(block, span, k)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
+        get = items.vocabulary.get
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):  # a few texts at a time are taken apart
+                part, stay = b.slice(lo, ROWS), []
+                for t in part.column(at).to_pylist():
+                    words = words_of((t or "").encode())
+                    found = items.hits(np.fromiter((get(w, -1) for w in words), np.int64, len(words)))[1]
+                    stay.append(len({items.names[x] for x in found}) < least_items)
+                yield part.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
