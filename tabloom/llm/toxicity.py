@@ -23,7 +23,9 @@ WINDOW, STRIDE, CELLS, WIDTH = 32, 16, 8, 8
 #: Parts of the sample; what a text's words say about the label comes from the other parts.
 FOLDS = 4
 #: Buckets of character n-grams and their lengths in bytes; windows that run at once; words that a worker remembers.
-GRAMS, LENGTHS, BATCH, REMEMBERED = 16_384, (3, 5, 7), 2048, 200_000
+GRAMS, LENGTHS, BATCH, REMEMBERED = 16_384, (3, 5, 7), 2048, 60_000
+#: Texts that a worker takes from Arrow at once, words that it scores at once and windows of a stretch of a long text.
+ROWS, WORDS, STRETCH = 256, 25_000, 512
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -355,7 +357,7 @@ def toxicity(docs: DataFrame, model, cut: float = 0.7) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model)
         for b in batches:
-            s = score(b.column(2).to_pylist())
+            s = np.concatenate([score(b.column(2).slice(lo, ROWS).to_pylist()) for lo in range(0, max(1, b.num_rows), ROWS)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
@@ -369,8 +371,10 @@ def without_toxic(docs: DataFrame, model, cut: float = 0.7) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model)
         for b in batches:
-            s = score([(t or "").encode() for t in b.column(at).to_pylist()])
-            yield b.filter(pa.array(s < cut))
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                s = score([(t or "").encode() for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array(s < cut))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -388,10 +392,10 @@ class Scorer:
             waiting, size = [], 0
             for i, t in enumerate(texts):
                 words = words_of(t)
-                for lo in range(0, len(words), STRIDE << 12):  # a very long text comes in stretches that share a window
-                    waiting.append((i, words[lo : lo + (STRIDE << 12) + WINDOW - STRIDE]))
+                for lo in range(0, max(min(len(words), 1), len(words) - WINDOW + STRIDE), STRIDE * STRETCH):  # a long text comes in stretches that share a window
+                    waiting.append((i, words[lo : lo + STRIDE * STRETCH + WINDOW - STRIDE]))
                     size += len(waiting[-1][1])
-                    if size >= 100_000:
+                    if size >= WORDS:
                         self._score(waiting, best)
                         waiting, size = [], 0
             self._score(waiting, best)
