@@ -257,6 +257,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands:
     members = stored(joined(members, counts, ["low"], counts=counts.withColumnRenamed("members", "joined_n")), "near-sets")
     id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id")
     first = own.select(id_of, "raw", "node").groupBy("node").agg(F.min(F.struct("id", "raw")).alias("x"))
+    first = stored(first, "near-firsts")  # else the semi join is moved below the minimum, and all copies of a text meet
     first = first.join(members.select("node").distinct(), "node", "left_semi").select("node", "x.*")
     texts = docs.select(id_of, F.xxhash64("text").alias("raw"), F.col("text").cast("binary").alias("text"))
     texts = texts.join(small(stored(first, "near-first")), ["id", "raw"]).dropDuplicates(["node"]).select("node", "text")
