@@ -1,7 +1,8 @@
 """A pipeline over documents: each stage works on all that its predecessor kept.
 
 toxicity: documents that the network rejects go. near_duplicates: of texts linked by a Jaccard similarity of 0.8 or more
-of their five-word shingles the one of smallest doc_id stays. decontamination: documents that hold a window of a
+of their five-word shingles the one of smallest doc_id stays; SimHash fingerprints and BK-trees find them, sets of shingles
+verify them. decontamination: documents that hold a window of a
 benchmark item go. secrets: spans found are overwritten. packing: what is left is packed into sequences, each with the ids
 and the text of what it holds.
 

@@ -8,8 +8,10 @@ it, and only edges within the radius are followed.
   apart agree in one block whole. A block of bits that more than ``hot`` fingerprints share is split: the other bits are
   cut into r + 1 blocks again, of which two near fingerprints agree in one, until groups are small. Links come from trees
   alone.
-* ``near_groups``: for texts of a given shingle similarity, whose fingerprints may lie any number of bits apart. No
-  fingerprint decides: every pair that shares a band of minimum hashes is verified on the exact sets of shingles.
+* ``near_groups``: for texts of a given shingle similarity. Fingerprints are linked as above, and trees over what has so
+  come together find pairs of a wider radius; all are verified on the exact sets of shingles. Similar texts may lie any
+  number of bits apart: of those farther than the trees reach, every pair that shares a band of minimum hashes is
+  verified as well.
 """
 
 from __future__ import annotations
@@ -163,26 +165,28 @@ def _bands(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, raw (a hash of the text), node (a hash of the normalised words) and one hash per band; texts without
-    words are left out."""
+    """doc_id, raw (a hash of the text), node (a hash of the normalised words), fp (the fingerprint's bits) and one hash
+    per band; texts without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, nodes, keys = [], [], []
+            at, nodes, fps, keys = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 words = (t or b"").lower().split()
                 if not words:
                     continue
-                h = np.unique(shingle_hashes(t, size))
+                h = shingle_hashes(t, size)
+                fps.append(fingerprint(h))
+                h = np.unique(h)
                 at.append(i)
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED + 1))
                 keys.append(_bands(h, bands, rows).view(np.int64).tolist())
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             own = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(2).take(own), as_long(nodes), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "raw", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(2).take(own), as_long(nodes), as_long(fps), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "raw", "node", "fp", "bands"])
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text"))
-    return own.mapInArrow(run, "doc_id long, raw long, node long, bands array<long>")
+    return own.mapInArrow(run, "doc_id long, raw long, node long, fp long, bands array<long>")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -196,24 +200,38 @@ def _edge_table(us: list[int], vs: list[int]) -> pa.Table:
     return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
-def _verified(dealt: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(u, v) from (part, p, q, block, node, bands, text): pairs of block p with block q, or within one, that share a
-    band and have the similarity; those that other pairs link already are left out."""
+def _verified(dealt: DataFrame, size: int, similarity: float, reach: int) -> DataFrame:
+    """(u, v) from (part, p, q, block, node, fp, bands, text): pairs of block p with block q, or within one, that have the
+    similarity; those that other pairs link already are left out. A tree over the fingerprints of q finds the pairs at
+    most reach bits apart, which are verified first; then come the others that share a band."""
 
     def run(table: pa.Table) -> pa.Table:
         node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+        fps = table.column("fp").to_numpy().view(np.uint64)
         bands = np.array(table.column("bands").to_pylist(), np.int64)
         sets = [np.unique(shingle_hashes(t, size)) for t in table.column("text").to_pylist()]
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
         forest, us, vs = Forest(len(node)), [], []
-        right = np.flatnonzero(block == q)
-        for x in np.flatnonzero(block == p).tolist():
-            near = right[(bands[right] == bands[x]).any(1)]
-            for y in near[near > x if p == q else near != x].tolist():
+        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+
+        def verify(xs: np.ndarray, ys: np.ndarray):
+            up = forest.flatten()
+            open_ = up[xs] != up[ys]
+            for x, y in zip(xs[open_].tolist(), ys[open_].tolist(), strict=True):
                 if forest.find(x) != forest.find(y) and _similar(sets[x], sets[y], similarity):
                     forest.join(x, y)
                     us.append(node[x])
                     vs.append(node[y])
+
+        for at, to in BKTree(fps[right]).within(fps[left], reach, block=128):
+            xs, ys = left[at], right[to]
+            own = ys > xs if p == q else ys != xs
+            verify(xs[own], ys[own])
+        for x in left.tolist():
+            far = right[np.bitwise_count(fps[right] ^ fps[x]) > reach]
+            far = far[(bands[far] == bands[x]).any(1)]
+            far = far[far > x if p == q else far != x]
+            verify(np.full(len(far), x), far)
         return _edge_table(us, vs)
 
     return dealt.groupBy("part", "p", "q").applyInArrow(run, "u long, v long")
@@ -234,21 +252,27 @@ def _stars(dealt: DataFrame, size: int, similarity: float) -> DataFrame:
     return dealt.groupBy("low", "block").applyInArrow(run, "u long, v long")
 
 
-def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, shard_rows: int = 1024, block_rows: int = 1024) -> DataFrame:
+def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, shard_rows: int = 1024, block_rows: int = 1024, radius: int = 2, reach: int = 18) -> DataFrame:
     """(doc_id, raw, group_id), raw being xxhash64 of the text: the smallest doc_id of the texts linked by a Jaccard similarity of at least `similarity` of
     their sets of shingles. Each text that has words gets a row.
 
-    Exact copies (equal words) are one node. Nodes that share a band of minimum hashes meet under the least node of the
-    band, and every two of them are verified on whole texts. Nodes under one least node are a set. Sets of up to
+    Exact copies (equal words) are one node. All nodes' fingerprints are linked within radius (see link_fingerprints);
+    nodes that these links hold together meet under their least node, and so do nodes that share a band of minimum
+    hashes. Nodes under one least node are a set, in which trees find the pairs at most reach bits apart. These pairs are
+    verified on whole texts, and so is every other pair that shares a band. Sets of up to
     block_rows nodes are dealt into shards of about shard_rows nodes. A larger set is cut into blocks, in each of which
     all nodes are first held against the least one; two nodes that it links need no more, so that only blocks of the
     others are paired, with all blocks. A set of any size needs no more memory than two blocks, and one whose nodes are
     near copies of one text moves each text twice. Only a spanning forest of the links goes on. Rows without doc_id have
     groups too; a group without any id has none."""
     own = stored(_sketches(docs, size, bands, rows), "near-sketches")
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands"), F.count("*").alias("joined_n"))
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.count("*").alias("joined_n"))
     nodes = stored(nodes, "near-nodes")
-    keys = nodes.select("node", F.explode("bands").alias("band"))
+    fps = stored(nodes.groupBy("fp").agg(F.count("*").alias("joined_n")), "near-fingerprints")
+    links = link_fingerprints(fps.select("fp"), radius).select(F.col("node").alias("fp"), "root")
+    roots = stored(fps.join(links, "fp", "left").select("fp", F.coalesce("root", "fp").alias("band"), "joined_n"), "near-roots")
+    near = joined(nodes.select("node", "fp"), roots.select("fp", "band"), ["fp"], counts=roots.select("fp", "joined_n"))
+    keys = nodes.select("node", F.explode("bands").alias("band")).unionByName(near.select("node", "band"))
     lows = stored(keys.groupBy("band").agg(F.count("*").alias("joined_n"), F.min("node").alias("low")).where("joined_n > 1"), "near-lows")
     members = stored(joined(keys, lows.select("band", "low"), ["band"], counts=lows.select("band", "joined_n")).select("low", "node").distinct(), "near-members")
     counts = stored(members.groupBy("low").agg(F.count("*").alias("members")), "near-counts")
@@ -280,7 +304,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands:
         others = F.sequence(F.when(F.col("linked"), F.col("a")).otherwise(F.lit(0)), F.col("a") + F.col("b") - 1)
         pairs = F.transform(others, lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
         dealt = dealt.unionByName(large.select(F.struct(F.lit(True).alias("large"), F.col("low").alias("of")).alias("part"), "node", "block", F.inline(pairs)))
-    found = _verified(dealt.join(texts.join(nodes.select("node", "bands"), "node"), "node"), size, similarity)
+    found = _verified(dealt.join(texts.join(nodes.select("node", "fp", "bands"), "node"), "node"), size, similarity, reach)
     exact = components(found if edges is None else found.unionByName(edges), "near-exact")
     rooted = stored(nodes.join(exact, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "near-rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("group_id"))

@@ -1,6 +1,7 @@
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tabloom.llm import simhash
 from tabloom.llm.bktree import BKTree, Forest
 from tabloom.llm.components import components
@@ -109,3 +110,21 @@ def test_near_groups_of_distant_fingerprints(spark):
         docs += [(2 * g, a), (2 * g + 1, b)]
     assert far
     assert rows(simhash.near_groups(frame(spark, docs)).drop("raw")) == sorted(brute.near_rows(docs), key=repr)
+
+
+def test_near_groups_by_fingerprints_alone(spark):
+    """One band of 1,500 minimum hashes brings none of these pairs together; links of fingerprints and trees do."""
+    r, docs = np.random.default_rng(13), []
+    for g in range(12):
+        words = [f"w{i}" for i in r.integers(0, 10**6, 600)]
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words[:-1], "other"]))]
+    apart = [(brute.simhash(a[1], 5) ^ brute.simhash(b[1], 5)).bit_count() for a, b in zip(docs[::2], docs[1::2])]
+    docs = [d for d in docs if apart[d[0] // 2] <= 2]
+    assert len(docs) >= 16
+    assert rows(simhash.near_groups(frame(spark, docs), bands=1, rows=1500).drop("raw")) == sorted(brute.near_rows(docs), key=repr)
+    words = [f"w{i}" for i in r.integers(0, 10**6, 40)]
+    few = [(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, " ".join(["y", *words[1:]]))]
+    node = np.arange(3)
+    table = [(0, 0, 0, 0, int(n), brute.simhash(t, 5) - (1 << 64) * (brute.simhash(t, 5) >> 63), [int(n)], t) for n, (_, t) in zip(node, few)]
+    dealt = spark.createDataFrame(table, "part int, p int, q int, block int, node long, fp long, bands array<long>, text string").withColumn("text", F.col("text").cast("binary"))
+    assert len(simhash._verified(dealt, 5, 0.8, 64).collect()) == 2 and simhash._verified(dealt, 5, 0.8, 0).collect() == []
