@@ -90,3 +90,33 @@ def test_held_out_gain(spark):
 def test_query_is_of_order_three(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     same(queries.op9_lm(spark, "/root/testdata/sf0.001").collect(), brute([(r.doc_id, r.text) for r in df.collect()], 3))
+
+
+def test_rows_are_counted_dealt_and_found():
+    """Against plain versions: counts without sums beside them, ranges' own dictionaries, searches in buckets of any size."""
+    r = np.random.default_rng(2)
+    for kinds, n in ((1, 5), (50, 3000), (1 << 22, 3000), (7, 0)):
+        ids = [np.minimum(r.zipf(1.3, n) - 1, kinds - 1).astype(np.uint32) for _ in range(3)]
+        want = collections.Counter(zip(*[x.tolist() for x in ids], strict=True))
+        for sums in ([], [np.ones(n, np.uint64)]):
+            own, counts, summed = L._merged(ids, kinds, sums)
+            assert list(zip(*[x.tolist() for x in own], strict=True)) == sorted(want) and counts.tolist() == [want[k] for k in sorted(want)]
+            assert all(s.tolist() == counts.tolist() for s in summed)
+    hashes = np.unique(r.integers(0, 1 << 48, 50, np.uint64))
+    ids = [r.integers(0, len(hashes), 400).astype(np.uint32) for _ in range(2)]
+    n = r.integers(1, 9, 400).astype(np.uint64)
+    for shards in (1, 7, 70_000):
+        got = []
+        for s, blob in L._dealt(hashes, ids, n, n, shards):
+            words, a, b, m, _ = L._unpack(blob, True)
+            words = np.cumsum(words, dtype=np.uint64)
+            assert (np.diff(words.astype(np.int64)) > 0).all() and set(range(len(words))) == {*a.tolist(), *b.tolist()}
+            assert (L._context([words[a], words[b]]) % np.uint64(shards) == s).all()
+            got += zip(words[a].tolist(), words[b].tolist(), m.tolist(), strict=True)
+        assert sorted(got) == sorted(zip(*[hashes[x].tolist() for x in ids], n.tolist(), strict=True))
+    for size in (0, 1, 2, 33, 5000):
+        keys = np.unique(np.r_[r.integers(0, 1 << 63, size, np.uint64) << np.uint64(1), np.arange(size // 4, dtype=np.uint64) << np.uint64(40)])
+        starts, low, order = L._indexed(keys)
+        asked = np.r_[keys, keys ^ np.uint64(1 << 50), np.array([0, (1 << 64) - 1], np.uint64)]
+        there, at = L._looked_up(starts, L._least_type(low), asked)
+        assert there.tolist() == np.isin(asked, keys).tolist() and (keys[order][at[there]] == asked[there]).all()
