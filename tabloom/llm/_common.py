@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -68,6 +70,16 @@ def joined(large: DataFrame, unique: DataFrame, keys: list[str], how: str = "inn
     return near.unionByName(large.join(hot, keys, "left_anti").join(unique, keys, how))
 
 
+def by_pieces(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """In a worker: what make gives of each piece of `rows` rows at most. A batch goes before the next one is read, and
+    after the last one Arrow gives back what it keeps in reserve, since idle workers stay through the stages to come."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield make(b.slice(lo, rows))
+        del b
+    pa.default_memory_pool().release_unused()
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df, marked for broadcast if it has at most `most` rows (of a few numbers each); larger ones are shuffled."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

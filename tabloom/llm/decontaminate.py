@@ -229,14 +229,16 @@ def decontaminated(docs: DataFrame, bench: DataFrame, least_items: int = 1, span
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         get = items.vocabulary.get
-        for b in batches:
-            for lo in range(0, b.num_rows, ROWS):  # a few texts at a time are taken apart
-                part, stay = b.slice(lo, ROWS), []
-                for t in part.column(at).to_pylist():
-                    words = words_of((t or "").encode())
-                    found = items.hits(np.fromiter((get(w, -1) for w in words), np.int64, len(words)))[1]
-                    stay.append(len({items.names[x] for x in found}) < least_items)
-                yield part.filter(pa.array(stay, pa.bool_()))
+
+        def kept(b: pa.RecordBatch) -> pa.RecordBatch:
+            stay = []
+            for t in b.column(at).to_pylist():
+                words = words_of((t or "").encode())
+                found = items.hits(np.fromiter((get(w, -1) for w in words), np.int64, len(words)))[1]
+                stay.append(len({items.names[x] for x in found}) < least_items)
+            return b.filter(pa.array(stay, pa.bool_()))
+
+        return by_pieces(batches, kept, ROWS)  # a few texts at a time are taken apart
 
     return docs.mapInArrow(run, docs.schema)
 

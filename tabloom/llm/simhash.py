@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.llm._common import joined, small, stored
+from tabloom.llm._common import by_pieces, joined, small, stored
 from tabloom.llm.bktree import BKTree, Forest
 from tabloom.llm.components import components
 
@@ -168,22 +168,24 @@ def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """doc_id, raw (a hash of the text), node (a hash of the normalised words), fp (the fingerprint's bits) and one hash
     per band; texts without words are left out."""
 
+    def made(b: pa.RecordBatch) -> pa.RecordBatch:
+        at, nodes, fps, keys = [], [], [], []
+        for i, t in enumerate(b.column(1).to_pylist()):
+            words = (t or b"").lower().split()
+            if not words:
+                continue
+            h = shingle_hashes(t, size)
+            fps.append(fingerprint(h))
+            h = np.unique(h)
+            at.append(i)
+            nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED + 1))
+            keys.append(_bands(h, bands, rows).view(np.int64).tolist())
+        as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        own = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(2).take(own), as_long(nodes), as_long(fps), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "raw", "node", "fp", "bands"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, nodes, fps, keys = [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                words = (t or b"").lower().split()
-                if not words:
-                    continue
-                h = shingle_hashes(t, size)
-                fps.append(fingerprint(h))
-                h = np.unique(h)
-                at.append(i)
-                nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED + 1))
-                keys.append(_bands(h, bands, rows).view(np.int64).tolist())
-            as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            own = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(2).take(own), as_long(nodes), as_long(fps), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "raw", "node", "fp", "bands"])
+        return by_pieces(batches, made)
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text"))
     return own.mapInArrow(run, "doc_id long, raw long, node long, fp long, bands array<long>")

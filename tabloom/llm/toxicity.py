@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tabloom.llm._common import by_pieces
 from tabloom.llm.decontaminate import words_of
 
 #: Words of a window, words from one window to the next, cells of each direction, width of an embedding.
@@ -370,11 +371,7 @@ def without_toxic(docs: DataFrame, model, cut: float = 0.7) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model)
-        for b in batches:
-            for lo in range(0, b.num_rows, ROWS):
-                part = b.slice(lo, ROWS)
-                s = score([(t or "").encode() for t in part.column(at).to_pylist()])
-                yield part.filter(pa.array(s < cut))
+        return by_pieces(batches, lambda b: b.filter(pa.array(score([(t or "").encode() for t in b.column(at).to_pylist()]) < cut)), ROWS)
 
     return docs.mapInArrow(run, docs.schema)
 
