@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tabloom.llm._common import joined, stored
+from tabloom.llm._common import by_pieces, joined, stored
 
 #: A-Z become a-z, and what is neither a digit, nor a letter, nor beyond ASCII separates words.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))

@@ -35,6 +35,17 @@ def test_query_against_brute_force(spark):
     assert any(r[3] for r in want)
 
 
+def test_rows_that_stay(spark):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    n_items = {r.doc_id: r.n_items for r in d.digest(d.contamination(docs, bench)).collect()}
+    for least in (1, 2):
+        want = sorted(i for i, n in n_items.items() if n < least)
+        assert len(want) < len(n_items) or least > 1
+        for more in ({}, {"block_bytes": 500}):
+            got = d.decontaminated(docs, bench, least, **more)
+            assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_odd_rows(spark):
     bench = [(10, "a b c d e f g h i"), (9, "a b c d e f g h i"), (1, "Über 5"), (2, ""), (3, None), (None, "b-c-d"), (4, "q")]
     docs = [(1, None), (None, "x a b c d e f g h y"), (2, ""), (3, "über\x0b5 über, q"), (3, "b c d q" * 9000), (5, "A.B.C.D.E.F.G.H.I")]
