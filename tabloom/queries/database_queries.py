@@ -208,14 +208,17 @@ ALL["gen14_fresh"] = (
 
 
 def _related(s, sf):
+    """Of each kind of relationship a child for every customer, and one more where children share parents, so that some do
+    at any size: how many of the first 100 came out, whether no two share one, and those 100 less all without a parent."""
     keys, rows = read(s, sf, "customer").select("c_custkey", "c_nationkey"), []
-    n = min(100, keys.count())
+    m = keys.count()
+    n = min(100, m)
     for kind in ("ONE_TO_ONE", "ONE_TO_MANY"):
         for names in (["c_custkey"], ["c_custkey", "c_nationkey"]):
-            got = G.related(s, n, keys, names, kind, 0.25 if len(names) == 2 else 0.0)
-            r = got.agg(F.count("*").alias("n"), F.count_distinct(*names).alias("d")).first()
-            inside = got.join(keys, names, "left_semi").count()
-            rows.append((kind, len(names), r["n"], r["d"] == r["n"], inside))
+            got = G.related(s, m + (kind == "ONE_TO_MANY"), keys, names, kind, 0.25 if len(names) == 2 else 0.0)
+            r = got.agg(F.count("*").alias("n"), F.count_distinct(*names).alias("d"), F.count_if(F.col("id") < n).alias("first")).first()
+            outside = r["n"] - got.join(keys, names, "left_semi").count()
+            rows.append((kind, len(names), r["first"], r["d"] == r["n"], r["first"] - outside))
     return s.createDataFrame(rows, "kind string, columns long, n long, different boolean, inside long")
 
 
