@@ -101,7 +101,39 @@ def histogram(df: DataFrame, column: str, buckets: int = BUCKETS, k: int = MOST_
 
     Equal-depth bounds are exact and need no global sort in one task: values are counted, range-partitioned, and each
     range's rows are offset by the sums of the ranges before it."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("cnt"))
+    return bounds(typed_counts(df, column), buckets, k, least)
+
+
+def typed_counts(df: DataFrame, column: str) -> DataFrame:
+    """(value, cnt) of one column in its own type, null among the values."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("cnt"))
+
+
+def facts(counts: DataFrame, column: str) -> DataFrame:
+    """col, row_count, null_percent, avg_width and ndistinct as basics() and ndistinct() have them, and the number of
+    different values, from typed_counts(); no row of an empty table."""
+    there, n, d = F.col("value").isNotNull(), F.sum("cnt"), F.count("value")
+    width = F.try_divide(F.sum(F.octet_length(F.col("value").cast("string")) * F.col("cnt")), F.sum(F.when(there, F.col("cnt"))))
+    signed = F.when(d == n, F.lit(-1.0)).when(d / n > 0.1, -F.round(d / n, 6)).otherwise(d.cast("double"))
+    return counts.agg(
+        F.lit(column).alias("col"),
+        n.alias("row_count"),
+        F.round(100 * (F.sum(F.when(there, F.lit(0)).otherwise(F.col("cnt"))) / n), 2).alias("null_percent"),
+        F.coalesce(F.round(width, 4), F.lit(0.0)).alias("avg_width"),
+        signed.alias("ndistinct"),
+        d.alias("different"),
+    ).where("row_count > 0")
+
+
+def commonest(counts: DataFrame, k: int = MOST_COMMON, least: int = 2) -> DataFrame:
+    """(value, cnt) of the values that most_common() has of one column, as text, from typed_counts()."""
+    own = counts.where(F.col("value").isNotNull() & (F.col("cnt") >= least)).select(F.col("value").cast("string").alias("value"), "cnt")
+    return own.orderBy(F.desc("cnt"), "value").limit(k)
+
+
+def bounds(counts: DataFrame, buckets: int = BUCKETS, k: int = MOST_COMMON, least: int = 2) -> DataFrame:
+    """What histogram() gives, from typed_counts()."""
+    counts = counts.where(F.col("value").isNotNull())
     if k:
         top = counts.where(F.col("cnt") >= least).orderBy(F.desc("cnt"), "value").limit(k).select("value")
         counts = counts.join(F.broadcast(top), "value", "left_anti")

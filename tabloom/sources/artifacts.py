@@ -22,7 +22,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def stats_frame(spark: SparkSession, sf_dir: str, tables: list[str], k: int = 100) -> DataFrame:
-    """STATS' columns for each column of the tables: catalog facts beside measured ones."""
+    """STATS' columns for each column of the tables: catalog facts beside measured ones. A column's values are counted
+    once, in their own type; all that is measured comes from the counts."""
     from tabloom.functions.pgtext import render_array
     from tabloom.operators import profile as P
 
@@ -31,11 +32,13 @@ def stats_frame(spark: SparkSession, sf_dir: str, tables: list[str], k: int = 10
     for t in tables:
         df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
         cols = [c for own, _, c, kind in catalog.attributes() if own == t and not kind.endswith("[]")]
-        base = {r["col"]: r for r in P.basics(df, cols).join(P.ndistinct(df, cols), "col").collect()}
+        counts = {c: P.checkpointed(P.typed_counts(df, c)) for c in cols}
+        base = {r["col"]: r for r in _union([P.facts(counts[c], c) for c in cols])}
+        tops = [P.commonest(counts[c], k).select(F.lit(c).alias("col"), "value", "cnt", F.round(F.col("cnt") / F.lit(base[c]["row_count"]), 8).alias("freq")) for c in cols if c in base]
         common: dict[str, list] = {}
-        for r in P.most_common(df, cols, k).orderBy("rank").collect():  # at most k rows a column
+        for r in sorted(_union(tops), key=lambda r: (-r["cnt"], r["value"])):  # at most k rows a column
             common.setdefault(r["col"], []).append((r["value"], r["freq"]))
-        bounds = _bounds(df, cols, common, k)
+        bounds = _bounds({c: counts[c] for c in cols if c in base and base[c]["different"] > len(common.get(c, [])) + 1}, k)
         for own, num, c, kind in catalog.attributes():
             if own != t or c not in base:
                 continue
@@ -49,16 +52,21 @@ def stats_frame(spark: SparkSession, sf_dir: str, tables: list[str], k: int = 10
     return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in STATS))
 
 
-def _bounds(df: DataFrame, cols: list[str], common: dict[str, list], k: int) -> dict[str, list[str]]:
+def _union(parts: list[DataFrame]) -> list:
+    """The rows of all parts, by one job."""
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out.collect() if out is not None else []
+
+
+def _bounds(counts: dict[str, DataFrame], k: int) -> dict[str, list[str]]:
     """Of each column the bounds of its histogram as text, where its most common values leave two values at least."""
     from tabloom.operators import profile as P
 
-    parts = None
-    for c in cols:
-        one = P.histogram(df, c, P.BUCKETS, k).select(F.lit(c).alias("col"), "i", F.col("bound").cast("string").alias("bound"))
-        parts = one if parts is None else parts.unionByName(one)
+    parts = [P.bounds(own, P.BUCKETS, k).select(F.lit(c).alias("col"), "i", F.col("bound").cast("string").alias("bound")) for c, own in counts.items()]
     found: dict[str, list] = {}
-    for r in parts.orderBy("col", "i").collect() if parts is not None else ():  # 101 rows a column
+    for r in sorted(_union(parts), key=lambda r: (r["col"], r["i"])):  # 101 rows a column
         found.setdefault(r["col"], []).append(r["bound"])
     return {c: b for c, b in found.items() if len(set(b)) > 1}
 
