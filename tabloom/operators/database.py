@@ -112,9 +112,10 @@ def _text_place(d: str, c: Column, row: str, table: str):
     return place
 
 
-def expression(d: str, c: Column, row: str, salt: int = 0) -> str:
+def expression(d: str, c: Column, row: str, salt: int = 0, r: str | None = None) -> str:
     """SQL for a column's values in either dialect, from nulls, most common values, bounds and the type's own generator.
-    An array has one element; what the type's generator gives as text stays text."""
+    An array has one element; what the type's generator gives as text stays text. r names a column that already holds
+    first_draw(), which the expression needs several times."""
     table, kind = f"{c.table}.{salt}", c.kind.lower()
     if kind.endswith("[]"):
         element = expression(d, Column(c.table, c.name, kind[:-2], c.rows), row, salt)
@@ -124,7 +125,7 @@ def expression(d: str, c: Column, row: str, salt: int = 0) -> str:
 
     def of(parse, spark: str, free: str, place=None, bounds: bool = True) -> str:
         s = G.Stats(c.name, c.null_frac, [(parse(v), f) for v, f in c.mcv], [parse(b) for b in c.bounds] if bounds else [], c.ndistinct)
-        return G.normal(d, s, spark, row, table, None, place(s) if place else None, free)
+        return G.normal(d, s, spark, row, table, r, place(s) if place else None, free)
 
     if kind.startswith("time") and not kind.startswith("timestamp"):
         seconds = f"cast({of(_seconds, 'bigint', V.seconds_of_day(d, row, name))} as bigint)"
@@ -168,6 +169,11 @@ def expression(d: str, c: Column, row: str, salt: int = 0) -> str:
     return of(str, text, V.text(d, row, name, size), lambda s: _text_place(d, c, row, table))
 
 
+def first_draw(d: str, c: Column, row: str, salt: int = 0) -> str:
+    """The number that decides between null, a common value and a bucket in expression()."""
+    return uniform(d, f"{c.table}.{salt}", c.name, row)
+
+
 def distinct(d: str, c: Column, row: str, must: list[str]) -> str:
     """SQL for values that differ by construction: first the values that other columns need and that would not come by
     themselves, then integers upward from the first bound, or texts that end with the row's number."""
@@ -190,7 +196,7 @@ def _maker(columns: list[Column], single: set[str], needed: dict[str, list[str]]
     """Rows of a table. Each column by its strategy: unique, foreign key or normal."""
 
     def make(spark: SparkSession, first: int, rows: int, salt: int, parents: dict[str, DataFrame]) -> DataFrame:
-        out, ranks, joins = [], [], []
+        out, ranks, joins, draws = [], [], [], []
         for c in columns:
             strategy = G.strategy(c.name in single, False, bool(c.refs), c.ndistinct if not c.refs and _distinct_by_itself(c) else 0.0)
             if c.refs and c.refs[0][0] != c.table:
@@ -214,11 +220,12 @@ def _maker(columns: list[Column], single: set[str], needed: dict[str, list[str]]
             elif strategy == "unique" or c.refs:
                 out.append(f"{distinct(SPARK, c, 'row_id', needed.get(c.name, []))} as {c.name}")
             else:
-                out.append(f"{expression(SPARK, c, 'row_id', salt)} as {c.name}")
+                draws.append(f"{first_draw(SPARK, c, 'row_id', salt)} as draw_{c.name}")
+                out.append(f"{expression(SPARK, c, 'row_id', salt, f'draw_{c.name}')} as {c.name}")
         df = spark.range(first, first + rows).withColumnRenamed("id", "row_id").selectExpr("row_id", *ranks)
         for name, places in joins:
             df = df.join(places.withColumnRenamed("rank", f"rank_{name}"), f"rank_{name}", "left")
-        return df.selectExpr("row_id", *out)
+        return df.selectExpr("*", *draws).selectExpr("row_id", *out)
 
     return make
 

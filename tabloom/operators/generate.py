@@ -97,9 +97,11 @@ def normal(d: str, s: Stats, kind: str, row: str, table: str = "t", r: str | Non
 
     draws = [place(bucket, k) for k in (1, 2, 3, 4)] if s.mcv else [place(bucket, 1)]
     tried = draws[-1]
-    for x in reversed(draws[:-1]):
-        has = f"array_contains({values}, {x})" if d == SPARK else f"list_contains({values}, {x})"
-        tried = f"case when not {has} then {x} else {tried} end"
+    for i, x in reversed(list(enumerate(draws[:-1]))):
+        if d == SPARK:  # each draw is written once: as text within text they outgrow what can be compiled
+            tried = f"element_at(transform(array({x}), tried_{i} -> case when not array_contains({values}, tried_{i}) then tried_{i} else {tried} end), 1)"
+        else:
+            tried = f"case when not list_contains({values}, {x}) then {x} else {tried} end"
     return f"case {' '.join(parts)} else {tried} end" if parts else tried
 
 
